@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage, table
 
@@ -116,9 +117,9 @@ def content_sort(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     heads_only leaves out rows that another row of the same partition replaces; what is kept is the same.
     """
     ordered = _sorted(docs, text_col, id_col, keep_row)
-    schema = "doc_id long, sha binary, ord long, head_ord long, head_id long, run_size long, edge boolean"
+    schema = T._parse_datatype_string("doc_id long, sha binary, ord long, head_ord long, head_id long, run_size long, edge boolean")
     if keep_row:
-        schema += f", doc {ordered.schema['doc'].dataType.simpleString()}"
+        schema = schema.add(ordered.schema["doc"])
     runs = stage(ordered.mapInArrow(_runs(keep_row, heads_only), schema))
     # at most two rows a partition, so this side has a bound that does not depend on the groups
     edges = (

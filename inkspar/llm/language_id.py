@@ -17,9 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import table
@@ -236,33 +237,38 @@ def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | No
     return train([(s, seen.index(k)) for s, k in samples], [names[k] for k in seen])
 
 
-def _predict(net: Network | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(net) if net else None
-        for frame in frames:
-            texts = frame["text"].tolist()
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            rows = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
-            at = 0
-            while at < len(rows):
-                to, size = at, 0
-                while to < len(rows) and size < 4_000_000:
-                    size += len(texts[rows[to]])
-                    to += 1
-                p = scorer.score([texts[k].encode() for k in rows[at:to]])
-                best = p.argmax(1)
-                for k, b, q in zip(rows[at:to], best, p, strict=True):
-                    lang[k], score[k] = net.languages[b], min(1.0, round(float(q[b]), 6))
-                at = to
-            yield pd.DataFrame({"row": frame["row"], "lang_pred": lang, "score": score}) if "row" in frame else pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": lang, "score": score})
-
-    return run
+class Labeller:
+    """Texts -> languages and scores."""
+
+    def __init__(self, net: Network | None):
+        self.net, self.scorer = net, Scorer(net) if net else None
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        rows = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.net else []
+        at = 0
+        while at < len(rows):
+            to, size = at, 0
+            while to < len(rows) and size < 4_000_000:
+                size += len(texts[rows[to]])
+                to += 1
+            p = self.scorer.score([texts[k].encode() for k in rows[at:to]])
+            best = p.argmax(1)
+            for k, b, q in zip(rows[at:to], best, p, strict=True):
+                lang[k], score[k] = self.net.languages[b], min(1.0, round(float(q[b]), 6))
+            at = to
+        return lang, score
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of rows doc_id, text."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(_predict(net), "doc_id long, lang_pred string, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(net)
+        for batch in batches:
+            lang, score = label(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -272,20 +278,16 @@ def held_out(id_col: str = "doc_id"):
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
     """Rows whose language is determined with at least that score, with the columns of docs."""
-    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).schema["row"].dataType
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
-    def run(batches):
-        import pyarrow as pa
-
-        go = _predict(net)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(net)
         for batch in batches:
-            frame = pd.DataFrame({"doc_id": pd.Series([0] * batch.num_rows), "text": batch.column("text").to_pylist()})
-            p = next(go(iter([frame])))
-            keep = (p["lang_pred"] != UNDETERMINED) & (p["score"] >= least)
-            yield batch.select(["row"]).filter(pa.array(keep.tolist(), pa.bool_()))
+            lang, score = label(batch.column("text").to_pylist())
+            keep = [k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)]
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, f"row {kind.simpleString()}").select("row.*")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ import re
 from collections.abc import Callable, Iterator
 from math import isqrt
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -362,7 +361,6 @@ def collisions(result: DataFrame) -> DataFrame:
 def replace_texts(docs: DataFrame, key: bytes = KEY, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """docs with their texts rewritten, and the number of characters brought up to date if there is such a column."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = whole.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detect, made = Detector(), Surrogates(key)
@@ -377,7 +375,7 @@ def replace_texts(docs: DataFrame, key: bytes = KEY, text_col: str = "text", siz
                 cols[size_col] = pa.array([len(t) if t is not None else o for t, o in zip(texts, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(cols.values()), names)], ["row"])
 
-    return whole.mapInArrow(run, f"row {kind.simpleString()}").select("row.*")
+    return whole.mapInArrow(run, whole.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

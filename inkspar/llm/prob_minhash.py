@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage, table
 from .graph import components
@@ -387,7 +388,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc")], ["ord", "doc"])
             row += n
 
-    numbered = rows.select("doc").mapInArrow(number, f"ord long, doc {rows.schema['doc'].dataType.simpleString()}")
+    numbered = rows.select("doc").mapInArrow(number, T.StructType([T.StructField("ord", T.LongType()), rows.schema["doc"]]))
     return numbered.join(keep, "ord", "left_semi").select("doc.*")
 
 

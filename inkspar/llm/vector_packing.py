@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -170,11 +169,11 @@ def pack(examples: Iterator[tuple], limits=(SEQUENCE, SEGMENTS, SEQUENCE), pool:
     return packer.drain()
 
 
-COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def _pack_texts(path: str, end_id: int, limits, carry: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words = WordIds(path)
@@ -182,30 +181,31 @@ def _pack_texts(path: str, end_id: int, limits, carry: bool):
         base = TaskContext.get().partitionId() << 40
         live: dict[int, list] = {}  # number -> doc_id, ids, tokens not yet placed
         n = 0
+        schema = PIECE.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECE
 
-        def rows():
+        def rows() -> pa.RecordBatch:
             out = []
             for key, start, length, seq, offset in packer.drain():
                 doc = live[key]
                 ids = doc[1][start : start + length]
                 doc[2] -= length
-                out.append((doc[0], start, length, crc32(ids.astype("<u4").tobytes()), len(doc[1]), base + seq, offset, ids.astype(np.int32)))
+                piece = [doc[0], start, length, crc32(ids.astype("<u4").tobytes()), len(doc[1]), base + seq, offset]
+                out.append([*piece, ids.astype(np.int32)] if with_ids else piece)
                 if not doc[2]:
                     del live[key]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")] + ["ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            return frame if carry else frame.drop(columns="ids")
+            cols = list(zip(*out, strict=True)) or [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        for frame in batches:
-            texts, ids_of = frame["text"].tolist(), frame["doc_id"].astype("Int64").tolist()
+        for batch in batches:
+            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             at = 0
             while at < len(texts):
                 chars, to = 0, at
                 while to < len(texts) and chars < 4_000_000:
                     chars, to = chars + len(texts[to]), to + 1
-                for doc_id, ids in zip(ids_of[at:to], words.encode(texts[at:to]), strict=True):
+                for key, ids in zip(keys[at:to], words.encode(texts[at:to]), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
-                    live[n] = [None if doc_id is pd.NA else doc_id, ids, len(ids)]
+                    live[n] = [key, ids, len(ids)]
                     packer.add(n, len(ids), 1, len(ids))
                     n += 1
                 if packer.out:
@@ -220,7 +220,8 @@ def _pack_texts(path: str, end_id: int, limits, carry: bool):
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits=(SEQUENCE, SEGMENTS, SEQUENCE), with_ids: bool = False) -> DataFrame:
     """Pieces of all documents and their places in sequences; with_ids adds the ids of each piece."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInPandas(_pack_texts(path, end_id, limits, with_ids), COLUMNS + (", ids array<int>" if with_ids else ""))
+    schema = ", ".join(f"{n} long" for n in PIECE.names) + (", ids array<int>" if with_ids else "")
+    return rows.mapInArrow(_pack_texts(path, end_id, limits, with_ids), schema)
 
 
 def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool = True) -> DataFrame:
@@ -229,20 +230,27 @@ def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool
     Nulls count as 0; rows with no tokens give nothing.
     """
 
-    def run(batches):
+    names = ["id", "start", "length", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer, base = Packer(limits, cut=cut), TaskContext.get().partitionId() << 40
-        for frame in batches:
-            for r in frame.itertuples(index=False):
-                packer.add(r[0], int(r[1]), int(r[2]), int(r[3]))
-            yield pd.DataFrame([(k, s, n, base + q, o) for k, s, n, q, o in packer.drain()], columns=["id", "start", "length", "sequence_id", "offset"])
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*((k, s, n, base + q, o) for k, s, n, q, o in packer.drain()), strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "segments", "loss")), strict=True):
+                packer.add(*row)
+            yield rows()
         packer.finish()
-        yield pd.DataFrame([(k, s, n, base + q, o) for k, s, n, q, o in packer.drain()], columns=["id", "start", "length", "sequence_id", "offset"])
+        yield rows()
 
     zero = F.lit(0)
     rows = turns.select(F.col("id").cast("long"), *[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in ("tokens", "segments", "loss")])
-    return rows.mapInPandas(run, "id long, start long, length long, sequence_id long, offset long")
+    return rows.mapInArrow(run, "id long, start long, length long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
