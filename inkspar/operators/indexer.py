@@ -52,6 +52,27 @@ def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", sit
     )
 
 
+def postings_of_terms(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", site: Column | None = None, edition: Column | None = None) -> DataFrame:
+    """The rows of build_postings for those terms, from documents that have no stored index.
+
+    The terms are filtered right behind the generator, in generated code, so only their positions are aggregated and
+    shuffled, not the postings of all terms.
+    """
+    from ..functions.text import tokens
+
+    found = docs.select(
+        F.col(key).cast("string").alias("target"), (site if site is not None else F.lit(None).cast("string")).alias("site"),
+        (edition if edition is not None else F.lit(NO_EDITION)).cast("bigint").alias("edition"), tokens(F.col(text)).alias("words"),
+    )
+    flat = found.select("target", "site", "edition", F.size("words").alias("word_count"), F.posexplode("words").alias("p", "term")).where(F.col("term").isin(list(terms)))
+    rows = flat.groupBy("target", "term").agg(F.first("site").alias("site"), F.first("edition").alias("edition"), F.first("word_count").alias("word_count"), F.array_sort(F.collect_list("p")).alias("positions"))
+    tf = F.size("positions")
+    return rows.select(
+        "term", F.lit(PAGE).cast("tinyint").alias("entry_type"), "target", F.lit(None).cast("string").alias("title"), (tf / F.col("word_count")).cast("double").alias("rel"),
+        tf.alias("tf"), "positions", F.lit(None).cast("map<int,string>").alias("fragments"), "site", "edition", "word_count",
+    )
+
+
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     from ..functions.text import tokens
 

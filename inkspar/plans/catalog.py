@@ -49,8 +49,15 @@ def postings(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
     return indexer.build_postings(docs, site=F.col("source"), edition=F.expr("(doc_id div 20) div 5"))
 
 
+def of_terms(spark: SparkSession, d: str, terms: list[str], lang: str | None = None) -> DataFrame:
+    docs = docs_of(spark, d)
+    if lang:
+        docs = docs.where(F.col("lang") == lang)
+    return indexer.postings_of_terms(docs, terms, site=F.col("source"), edition=F.expr("(doc_id div 20) div 5"))
+
+
 def engine(spark: SparkSession, d: str, **options) -> Engine:
-    return Engine({"all": postings(spark, d)}, **options)
+    return Engine({"all": lambda terms: of_terms(spark, d, terms)}, **options)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -115,10 +122,10 @@ register(
 # lookups and ranges
 
 register("term_lookup", WITH + "SELECT target, tf, round(rel, 6) AS rel FROM post WHERE term = 'attion'")(
-    lambda s, d: postings(s, d).where("term = 'attion'").select("target", F.col("tf").cast("bigint").alias("tf"), F.round("rel", 6).alias("rel"))
+    lambda s, d: of_terms(s, d, ["attion"]).select("target", F.col("tf").cast("bigint").alias("tf"), F.round("rel", 6).alias("rel"))
 )
 register("multi_term_lookup", WITH + "SELECT term, target, round(rel, 6) AS rel FROM post WHERE term IN ('anea', 'eriner', 'pour')")(
-    lambda s, d: rounded(postings(s, d).join(F.broadcast(s.createDataFrame([("anea",), ("eriner",), ("pour",)], "term string")), "term"), "term", "target")
+    lambda s, d: rounded(of_terms(s, d, ["anea", "eriner", "pour"]), "term", "target")
 )
 register("key_scan_distinct_terms", f"WITH {TOKENS} SELECT DISTINCT term FROM tok")(lambda s, d: tx.tokenize(docs_of(s, d)).select("term").distinct())
 register("key_range_terms", f"WITH {TOKENS} SELECT DISTINCT term FROM tok WHERE term > 'an' AND term < 'ao'")(lambda s, d: ordered.key_range(tx.tokenize(docs_of(s, d)).select("term"), "term", "an", "ao").distinct())
@@ -167,10 +174,10 @@ register("phrase_positions", WITH + f"SELECT target, array_to_string(p, ',') AS
     lambda s, d: engine(s, d).search('"anea eriner"').select("target", listed("positions"))
 )
 register("semi_join", WITH + "SELECT target, round(rel, 6) AS rel FROM post WHERE term = 'anea' AND target IN (SELECT target FROM post WHERE term = 'eriner')")(
-    lambda s, d: rounded(algebra.semi(*[algebra.from_postings(postings(s, d).where(F.col("term") == t)) for t in ("anea", "eriner")]), "target")
+    lambda s, d: rounded(algebra.semi(*[algebra.from_postings(of_terms(s, d, [t])) for t in ("anea", "eriner")]), "target")
 )
 register("multi_index_union", WITH + "SELECT target, round(rel, 6) AS rel FROM post WHERE term = 'attion' AND lang IN ('en', 'de', 'fr', 'es')")(
-    lambda s, d: rounded(Engine({x: postings(s, d, x) for x in ("en", "de", "fr", "es")}).search("attion", "en de;fr es"), "target")
+    lambda s, d: rounded(Engine({x: lambda terms, x=x: of_terms(s, d, terms, x) for x in ("en", "de", "fr", "es")}).search("attion", "en de;fr es"), "target")
 )
 register("resubject", WITH + "SELECT 'attion@all' AS subj, count(*) AS n FROM post WHERE term = 'attion'")(lambda s, d: engine(s, d).search("Attion ").groupBy("subj").agg(F.count("*").alias("n")))
 
@@ -183,7 +190,7 @@ register("rank_topk", WITH + f"{_RANKED} FROM {_one('attion')} a FULL JOIN {_one
 
 
 def _with_site(s: SparkSession, d: str, term: str) -> DataFrame:
-    return postings(s, d).where(F.col("term") == term)
+    return of_terms(s, d, [term])
 
 
 register("site_groups", WITH + "SELECT site, edition, count(*) AS pages, round(max(rel), 6) AS rel FROM post WHERE term = 'anea' GROUP BY site, edition")(
@@ -255,8 +262,8 @@ register("parse_positions", f"SELECT id, array_to_string(list_filter([TRY_CAST(t
 )
 def _xml_join(s: SparkSession, d: str) -> DataFrame:
     """The two sections of a shard, words with their places and files with their sizes, joined on the file id."""
-    p = postings(s, d)
-    words = p.where(F.col("term").isin("anea", "eriner")).select("term", F.col("target").alias("id"), "positions").join(indexer.doc_frequency(p.where(F.col("term").isin("anea", "eriner"))).withColumnRenamed("df", "file_count"), "term")
+    p = of_terms(s, d, ["anea", "eriner"])
+    words = p.select("term", F.col("target").alias("id"), "positions").join(indexer.doc_frequency(p).withColumnRenamed("df", "file_count"), "term")
     files = docs_of(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("page"), F.lit(None).cast("string").alias("title"), F.size(tx.tokens(F.col("text"))).alias("word_count"))
     joined = words.join(files, "id").withColumn("total_files", F.lit(docs_of(s, d).count()))
     return rounded(xml_index.word_file_postings(joined), "term", "target")
@@ -293,7 +300,7 @@ def _folder(s: SparkSession) -> str:
 def _codec(s: SparkSession, d: str) -> DataFrame:
     from ..sources import codecs
 
-    back = codecs.decode_rows(codecs.encode_rows(postings(s, d).where(F.col("term").isin("anea", "eriner", "pour"))))
+    back = codecs.decode_rows(codecs.encode_rows(of_terms(s, d, ["anea", "eriner", "pour"])))
     return back.select("term", "target", F.size("positions").cast("bigint").alias("tf"))
 
 

@@ -8,6 +8,7 @@ compile() gives None.  Stop words drop out of an AND, are blanks in a phrase, an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Union
 
@@ -207,9 +208,9 @@ class MissingTerm(LookupError):
 
 @dataclass
 class Engine:
-    """Searches one or several posting tables by name."""
+    """Searches one or several indexes by name: posting tables, or functions from a list of terms to their postings."""
 
-    indexes: dict[str, DataFrame]
+    indexes: dict[str, DataFrame | Callable[[list[str]], DataFrame]]
     union_mode: str = "merge"
     on_missing: str = "empty"  # or "error"
     strict_compat: bool = False
@@ -241,7 +242,9 @@ class Engine:
     def _plan(self, node: Node, name: str, query: str) -> DataFrame:
         words = sorted(terms_of(node))
         # one scan for all terms of the query: the predicate reaches the files, which are sorted by term
-        scanned = algebra.from_postings(self.indexes[name].where(F.col("term").isin(words)))
+        index = self.indexes[name]
+        rows = index(words) if callable(index) else index.where(F.col("term").isin(words))
+        scanned = algebra.from_postings(rows)
         if self.on_missing == "error":
             there = {r[0] for r in scanned.select("subj").distinct().collect()}
             if set(words) - there:
