@@ -13,6 +13,9 @@ an example longer than a sequence is cut; repeated rows are packed like any othe
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -22,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import table, vocabulary
 
 SEQUENCE = 4096
@@ -32,41 +36,78 @@ POOL = 2048
 CACHE = 300_000
 
 
+#: Letters below U+0250, then ASCII punctuation without the apostrophe: two pretokens, or one.
+_PLAIN = re.compile(r"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     """ids of whole texts, from the ids of their words.
 
     Every pattern of this vocabulary's tokenizer ends at a space, and spaces leave no ids, so a text's ids are those
     of its words one after another.  Each distinct word goes through the tokenizers library once per task while the
-    bounded memory lasts.
+    bounded memory lasts: plain words straight through its merges, which skips normalising what is normal already,
+    all others through the whole of it.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
-
-    def lookup(self, words: list[str]) -> list[np.ndarray]:
+        self.merges = self.tokenizer.model
+        self.letter = {b: c for c, b in byte_letters().items()}
+        self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def full(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def stem(self, low: str) -> bytes:
+        shown = low if low.isascii() else "".join(map(self.letter.__getitem__, low.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return self.full(word)
+        letters, rest = plain.groups()
+        low = letters.lower()
+        if len(low) != len(letters):  # a capital whose small form is a letter and a mark
+            return self.full(word)
+        stems = self.stems
+        ids = stems.get(low)
+        if ids is None:
+            ids = stems[low] = self.stem(low)
+        if not rest:
+            return ids
+        end = stems.get(rest)
+        if end is None:
+            end = stems[rest] = self.full(rest)
+        return ids + end
+
+    def lookup(self, words: list[str]) -> list[bytes]:
         known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
+        if len(known) > CACHE:
             known.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+        if len(self.stems) > CACHE:
+            self.stems.clear()
+        out = []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = self.word(w)
+            out.append(ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         array = pa.array(texts, pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(array, "\n", " "), " ")
         words = lists.values.dictionary_encode()
         parts = self.lookup(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate([*parts, np.empty(0, np.uint32)])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         begin = np.cumsum(sizes) - sizes
         index = words.indices.to_numpy(zero_copy_only=False)
         n = sizes[index]
