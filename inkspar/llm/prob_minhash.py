@@ -9,8 +9,8 @@ or more, and the classes are the connected components of the links.
 
 Work is kept linear in a bucket: equal texts (same words) are one node; the nodes of a bucket are sorted and
 cut where partitions end, and each is paired with the first one only.  Buckets whose other nodes still lie in different
-components after that are compared block against block, on registers inside a task, so that no link is lost and
-no list of all pairs is ever made.
+components after that are compared block against block, inside tasks that return at most one link for each node,
+so that no link is lost and no list of all pairs is ever made.
 
 Defined results: words are lower-cased and cut at white space; a text of one to four words is one shingle; texts with no
 word (null, empty, only white space) stay alone, each in a class of its own; rows with equal ids stay apart, one of
@@ -40,8 +40,8 @@ REGISTERS = BANDS * ROWS
 #: Candidates with a smaller share of equal registers are dropped; at 0.8 this lies 6 standard deviations below.
 LEAST_SHARE = 0.6
 #: Nodes in a block of a bucket.
-BLOCK = 256
-CHUNK = 4_000_000
+BLOCK = 384
+CHUNK = 1_000_000
 _U = np.uint64
 
 
@@ -243,18 +243,58 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _blocks(left: pd.DataFrame) -> pd.DataFrame:
-    """Two blocks of a bucket (or one with itself): pairs from different components with enough equal registers."""
-    one = left[left["side"] != 1]
-    two = left[left["side"] != 0]
-    a = np.frombuffer(b"".join(one["sig"]), np.uint32).reshape(-1, REGISTERS)
-    b = np.frombuffer(b"".join(two["sig"]), np.uint32).reshape(-1, REGISTERS)
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """n x n: how many shingles each two of the sets have in common."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate([*sets, np.empty(0, _U)]), return_inverse=True, return_counts=True)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    keep = often[code]
+    doc, code = doc[keep], place[code[keep]]
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    doc, code = doc[order], code[order]
+    for at in range(0, int(often.sum()), columns):
+        lo, hi = np.searchsorted(code, [at, at + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[doc[lo:hi], code[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks of a bucket, or one with itself: links that join different components, as few as join them all.
+
+    Similarities of all the pairs are computed here, exactly; what leaves the task is at most one link for each node.
+    """
+    names, side = group["node"].tolist(), group["side"].to_numpy()
+    doc, sh, count = shingles(*word_hashes(pa.array(group["text"], pa.large_string())))
+    ends = np.searchsorted(doc, np.arange(len(names) + 1))
+    sets = [sh[p:q] for p, q in zip(ends[:-1], ends[1:], strict=True)]
+    w = weights(count)
+    even = np.array([(count[p:q] == 1).all() for p, q in zip(ends[:-1], ends[1:], strict=True)])
+    size = np.diff(ends).astype(np.float32)
+    both = shared_counts(sets)
+    plain = both / (size[:, None] + size - both)
+    _, root = np.unique(np.array([r.hex() for r in group["root"]]), return_inverse=True)
+    root = root.copy()
+    # plain Jaccard settles it, and is the probability Jaccard where no shingle repeats; 0.6 leaves room for the rest
+    near = np.triu((plain >= SIMILARITY - 1e-6) | ((plain >= LEAST_SHARE) & ~(even[:, None] & even)), 1)
+    near &= (side[:, None] != side) | (side[:, None] == 2)
+    left, right = np.nonzero(near)
+    order = np.argsort(-plain[left, right], kind="stable")
     out = []
-    names, roots = two["node"].to_numpy(), two["root"].to_numpy()
-    for row, node, root in zip(a, one["node"], one["root"], strict=True):
-        near = np.flatnonzero((b == row).sum(1) >= LEAST_SHARE * REGISTERS)
-        out += [(min(node, names[k]), max(node, names[k])) for k in near if roots[k] != root]
-    return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        if root[i] == root[j]:
+            continue
+        if plain[i, j] < SIMILARITY + 1e-6:
+            a, b = ((sets[k], w[ends[k] : ends[k + 1]]) for k in (i, j))
+            if pair_similarity(a, b) < SIMILARITY - 1e-12:
+                continue
+        root[root == root[i]] = root[j]
+        out.append((min(names[i], names[j]), max(names[i], names[j])))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -286,7 +326,7 @@ def classes(rows: DataFrame) -> DataFrame:
     members = stars.where("not edge").select("key", "a", "b").union(across)
     pairs = members.select("a", "b").distinct()
     near = _filtered(pairs, nodes)
-    texts = _texts_of(near, nodes, signed, rows)
+    texts = _texts_of(near, nodes, rows)
     # one candidate for each node first: it joins most of what belongs together
     best = near.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
     links = _verified(best, texts)
@@ -304,19 +344,17 @@ def classes(rows: DataFrame) -> DataFrame:
     # blocks by a hash of the node, so that no order or single task is needed; a pair of blocks is one group
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.join(nodes.select("node", "sig"), "node")
-    spread = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = stage(left)
+    texts = _texts_of(left.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes, rows)
+    spread = left.join(texts, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.select(
-        "key", "node", "root", "sig",
+        "key", "node", "root", "text",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    extra = grouped.groupBy("key", "x", "y").applyInPandas(_blocks, "a binary, b binary").distinct()
-    extra = stage(extra)
+    extra = stage(grouped.groupBy("key", "x", "y").applyInPandas(_blocks, "a binary, b binary"))
     if not extra.isEmpty():
-        texts = _texts_of(extra, nodes, signed, rows)
-        links = stage(links.union(_verified(extra, texts)))
-        root = components(links)
+        root = components(links.union(extra.distinct()))
 
     # classes of rows
     own = signed.select("doc_id", "ord", F.coalesce("node", F.concat(F.lit("-").cast("binary"), F.col("ord").cast("string").cast("binary"))).alias("node"))
@@ -340,7 +378,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(scored.where(F.col("share") >= LEAST_SHARE))
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, signed: DataFrame, rows: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of every node in pairs: of the row that stands for it."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = wanted.join(nodes.select("node", "at"), "node")
