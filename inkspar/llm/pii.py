@@ -378,9 +378,13 @@ def replace_texts(docs: DataFrame, key: bytes = KEY, text_col: str = "text", siz
     return whole.mapInArrow(run, whole.schema).select("row.*")
 
 
+def _of_type(kind: str):
+    return lambda e: e["type"] == kind
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the number of entities of each type, spans and surrogates in order, and the text as rewritten."""
     made = surrogates(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("entities", lambda e, t=t: e["type"] == t)).cast("long").alias(f"n_{t}") for t in TYPES]
+    counts = [F.size(F.filter("entities", _of_type(t))).cast("long").alias(f"n_{t}") for t in TYPES]
     listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"].cast("string"), e["end"].cast("string"), e["surrogate"])), "\n")
     return made.select("doc_id", *counts, listed.alias("spans"), "text")
