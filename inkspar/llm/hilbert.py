@@ -38,6 +38,8 @@ RECALL = 0.96
 NEIGHBOURS = 10
 #: Entries and queries that meet in one task; larger ranges are cut, and each cut of one side meets each of the other.
 ENTRIES, QUERIES = 60_000, 20_000
+#: Rows of a range, as long as the sample gives enough borders; a query gets partial results from each range it sees.
+RANGE = 8_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -152,12 +154,13 @@ def nearest(rows: DataFrame, is_query, neighbours: int = NEIGHBOURS, id_col: str
     drawn = index.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in drawn], float)
     fitted = fit_curves(sample, neighbours, curves, recall)
-    # enough partitions to use every core, and borders at equal shares of the sample
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(sample) // 32))
+    # borders at equal shares of the sample
+    n = index.count()
+    parts = max(1, min(-(-n // RANGE), len(sample) // 32))
     borders = [np.unique(r[(np.arange(1, parts) * len(r)) // parts]) for r in fitted.ranks]
 
     chosen = stage(good.where(is_query(F.col("id"))).distinct().select(F.array("id").alias("ids"), "v"))
-    cuts = max(1, -(-index.count() // (parts * ENTRIES)))
+    cuts = max(1, -(-n // (parts * ENTRIES)))
     asks = max(1, int(-(-chosen.count() * (2 * fitted.reach + 2 / parts) // QUERIES)))
 
     def place(role: int):
