@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_positions
-from ..schema import PAGE
+from ..schema import PAGE, struct
 from .store import route
 
-_FILE = "struct<_id:string,_VALUE:string>"
-WORD = T._parse_datatype_string(f"_v string, _fileCount long, file array<{_FILE}>")
-FILE = T._parse_datatype_string("_id string, _key string, _title string, _wordCount int")
-FILES = T._parse_datatype_string("_totalFileCount long, file array<struct<_id:string>>")
-ROOT = T._parse_datatype_string("header struct<title:string,owner:string,email:string>, keywords struct<subIndex:array<struct<_key:string>>>")
+WORD = struct(_v="string", _fileCount="bigint", file=T.ArrayType(struct(_id="string", _VALUE="string")))
+FILE = struct(_id="string", _key="string", _title="string", _wordCount="int")
+FILES = struct(_totalFileCount="bigint", file=T.ArrayType(struct(_id="string")))
+ROOT = struct(header=struct(title="string", owner="string", email="string"), keywords=struct(subIndex=T.ArrayType(struct(_key="string"))))
 
 
 @dataclass
