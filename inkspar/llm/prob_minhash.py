@@ -189,7 +189,7 @@ def share(a: Iterator[bytes], b: Iterator[bytes]) -> np.ndarray:
     return (left == right).mean(1) if len(left) else np.empty(0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(share(a, b))
 
