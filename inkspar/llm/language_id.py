@@ -249,7 +249,7 @@ class Labeller:
         at = 0
         while at < len(rows):
             to, size = at, 0
-            while to < len(rows) and size < 4_000_000:
+            while to < len(rows) and size < 1_000_000:
                 size += len(texts[rows[to]])
                 to += 1
             p = self.scorer.score([texts[k].encode() for k in rows[at:to]])
@@ -278,14 +278,17 @@ def held_out(id_col: str = "doc_id"):
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
     """Rows whose language is determined with at least that score, with the columns of docs."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(net)
         for batch in batches:
-            lang, score = label(batch.column("text").to_pylist())
-            keep = [k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)]
-            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                lang, score = label(part.column("row").field("text").to_pylist())
+                keep = [k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
 

@@ -135,9 +135,6 @@ def by_bytes(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    row = TaskContext.get().partitionId() << 36
     for batch in batches:
         texts = batch.column("text").cast(pa.large_string())
         for a, b in by_bytes(texts):
@@ -149,10 +146,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = [hashlib.blake2b(raw[8 * (e - c) : 8 * e], digest_size=16).digest() if c else None for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             ids = batch.column("doc_id").slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(range(row, row + b - a), pa.int64()), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary())],
+                [ids, batch.column("ord").slice(a, b - a), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary())],
                 ["doc_id", "ord", "node", "sig"],
             )
-            row += b - a
+        pa.default_memory_pool().release_unused()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +238,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (x, y) in enumerate(zip(*sides, strict=True)):
                 keep[lo + k] = pair_similarity(x, y) >= SIMILARITY - 1e-12
         yield batch.select(["a", "b"]).filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -308,7 +306,7 @@ def classes(rows: DataFrame) -> DataFrame:
     """doc_id, ord, class_id, class_size, kept of rows doc_id, text."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = stage(rows.mapInArrow(_sign, "doc_id long, ord long, node binary, sig binary"))
+    signed = stage(_with_order(rows).mapInArrow(_sign, "doc_id long, ord long, node binary, sig binary"))
     linkable = signed.where("node is not null")
     nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.min("ord").alias("at")))
 
@@ -386,18 +384,8 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _with_order(rows: DataFrame) -> DataFrame:
-    """The same row numbers as in _sign: both scan the same splits in the same order."""
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("text")], ["ord", "text"])
-            row += n
-
-    return rows.mapInArrow(number, "ord long, text string")
+    """Row numbers, the same in every scan: rows must be a table, whose splits and their order do not change."""
+    return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -417,16 +405,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keep = classes(rows.select("doc_id", "text")).where("kept").select("ord")
 
-    def number(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc")], ["ord", "doc"])
-            row += n
-
-    numbered = rows.select("doc").mapInArrow(number, T.StructType([T.StructField("ord", T.LongType()), rows.schema["doc"]]))
+    numbered = _with_order(rows.select("doc"))
     return numbered.join(keep, "ord", "left_semi").select("doc.*")
 
 
