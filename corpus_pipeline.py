@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from inkspar.llm import content_sort, language_id, pii, prob_minhash, vector_packing
 from inkspar.llm.common import stage, table, vocabulary
 
-#: A document goes only when no language can be told: chance alone gives the best of four languages 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document goes only when it has no language at all (no letters); doubt between languages is no reason to drop it.
+LEAST_LANGUAGE_SCORE = 0.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

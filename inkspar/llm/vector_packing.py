@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import by_chars, byte_letters
 from .common import table, vocabulary
 
 SEQUENCE = 4096
@@ -238,20 +238,16 @@ def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            at = 0
-            while at < len(texts):
-                chars, to = 0, at
-                while to < len(texts) and chars < 4_000_000:
-                    chars, to = chars + len(texts[to]), to + 1
-                for key, ids in zip(keys[at:to], words.encode(texts[at:to]), strict=True):
+            for at, to in by_chars(batch.column("text").cast(pa.large_string()), 4_000_000):
+                part = batch.slice(at, to - at)
+                for key, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text").to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     live[n] = [key, ids, len(ids)]
                     packer.add(n, len(ids), 1, len(ids))
                     n += 1
                 if packer.out:
                     yield rows()
-                at = to
+            pa.default_memory_pool().release_unused()
         packer.finish()
         yield rows()
 
