@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, vocabulary
+from .common import map_texts, table, vocabulary
 
 #: Bounds of what a task remembers.
 PRETOKENS, PAIRS = 600_000, 600_000
@@ -229,7 +229,7 @@ def _digests(path: str):
 
 def encode_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_digests(path), SCHEMA)
+    return map_texts(rows, _digests(path), SCHEMA)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return map_texts(rows, run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -254,7 +254,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             text = [bpe.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_texts(rows.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

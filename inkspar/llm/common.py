@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of texts where the session sets no bound itself.  Spark holds a batch outside its heap, and the
+#: Python process holds it again with what is made from it, so the default (64 MB) costs several hundred MB a task.
+BATCH_BYTES = 8 << 20
+
 #: Vocabulary files are found by name through the ``public_tokenizers`` package unless a path is given.
 
 
@@ -56,5 +63,29 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_memory() -> None:
+    """Return what this process has freed to the system: workers live on and hand what they keep to the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, after which a worker keeps no memory."""
+    conf = df.sparkSession.conf
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in conf.getAll:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def same_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in columns])

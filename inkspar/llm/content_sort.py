@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import map_texts, stage, table
 
 #: White space that is folded: space and the characters 9 to 13.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -120,7 +120,7 @@ def content_sort(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     schema = T._parse_datatype_string("doc_id long, sha binary, ord long, head_ord long, head_id long, run_size long, edge boolean")
     if keep_row:
         schema = schema.add(ordered.schema["doc"])
-    runs = stage(ordered.mapInArrow(_runs(keep_row, heads_only), schema))
+    runs = stage(map_texts(ordered, _runs(keep_row, heads_only), schema))
     # at most two rows a partition, so this side has a bound that does not depend on the groups
     edges = (
         runs.where("edge and ord = head_ord")

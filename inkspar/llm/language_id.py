@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import free_memory, map_texts, table
 
 HIDDEN = 12
 #: Bounds of the training sample: rows of each language, characters of each row (from a place that its hash picks).
@@ -268,7 +268,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             lang, score = label(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -288,9 +288,9 @@ def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
                 lang, score = label(part.column("row").field("text").to_pylist())
                 keep = [k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)]
                 yield part.filter(pa.array(keep, pa.bool_()))
-            pa.default_memory_pool().release_unused()
+            free_memory()
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+    return map_texts(rows, run, T.StructType([rows.schema["row"]])).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 from .prob_minhash import by_bytes, mix
 
 GRAM, WINNOW = 3, 2
@@ -230,7 +230,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return map_texts(rows, run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

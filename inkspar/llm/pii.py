@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 KEY = b"inkspar demonstration key"
 TYPES = ["email", "iban", "ipv4", "card", "phone", "person"]
@@ -342,7 +342,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text", id_col
                 entities.append([{"start": s, "end": e, "type": k, "entity": t[s:e], "surrogate": n} for (s, e, k), n in zip(spans, names, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(entities, kind)], ["doc_id", "text", "entities"])
 
-    return rows.mapInArrow(run, f"doc_id long, text string, entities {ENTITY}")
+    return map_texts(rows, run, f"doc_id long, text string, entities {ENTITY}")
 
 
 def canonical(kind, entity):
@@ -375,7 +375,7 @@ def replace_texts(docs: DataFrame, key: bytes = KEY, text_col: str = "text", siz
                 cols[size_col] = pa.array([len(t) if t is not None else o for t, o in zip(texts, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(cols.values()), names)], ["row"])
 
-    return whole.mapInArrow(run, whole.schema).select("row.*")
+    return map_texts(whole, run, whole.schema).select("row.*")
 
 
 def _of_type(kind: str):

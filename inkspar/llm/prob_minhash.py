@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import free_memory, map_texts, stage, table
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -149,7 +149,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [ids, batch.column("ord").slice(a, b - a), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary())],
                 ["doc_id", "ord", "node", "sig"],
             )
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (x, y) in enumerate(zip(*sides, strict=True)):
                 keep[lo + k] = pair_similarity(x, y) >= SIMILARITY - 1e-12
         yield batch.select(["a", "b"]).filter(pa.array(keep))
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -306,7 +306,7 @@ def classes(rows: DataFrame) -> DataFrame:
     """doc_id, ord, class_id, class_size, kept of rows doc_id, text."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = stage(_with_order(rows).mapInArrow(_sign, "doc_id long, ord long, node binary, sig binary"))
+    signed = stage(map_texts(_with_order(rows), _sign, "doc_id long, ord long, node binary, sig binary"))
     linkable = signed.where("node is not null")
     nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.min("ord").alias("at")))
 
@@ -316,7 +316,7 @@ def classes(rows: DataFrame) -> DataFrame:
     banded = nodes.select("node", F.explode(keys).alias("key"))
     # the sort runs over (key, node): a bucket of any size is cut into partitions
     ordered = banded.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    stars = stage(ordered.mapInArrow(_stars, "key long, a binary, b binary, edge boolean"))
+    stars = stage(map_texts(ordered, _stars, "key long, a binary, b binary, edge boolean"))
     # buckets that lie across partitions: at most two rows a partition, joined to the first of them
     ends = stars.where("edge").select("key", "a")
     tops = ends.groupBy("key").agg(F.min("a").alias("top"))
@@ -392,7 +392,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return stage(joined.mapInArrow(_verify, "a binary, b binary"))
+    return stage(map_texts(joined, _verify, "a binary, b binary"))
 
 
 def _crossing(pairs: DataFrame, root: DataFrame) -> DataFrame:

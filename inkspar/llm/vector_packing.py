@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_chars, byte_letters
-from .common import table, vocabulary
+from .common import free_memory, map_texts, table, vocabulary
 
 SEQUENCE = 4096
 SEGMENTS = 512
@@ -247,7 +247,7 @@ def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
                     n += 1
                 if packer.out:
                     yield rows()
-            pa.default_memory_pool().release_unused()
+            free_memory()
         packer.finish()
         yield rows()
 
@@ -258,7 +258,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits=(SEQUENCE
     """Pieces of all documents and their places in sequences; with_ids adds the ids of each piece."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = ", ".join(f"{n} long" for n in PIECE.names) + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(_pack_texts(path, end_id, limits, with_ids), schema)
+    return map_texts(rows, _pack_texts(path, end_id, limits, with_ids), schema)
 
 
 def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool = True) -> DataFrame:
