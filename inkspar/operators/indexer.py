@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..schema import PAGE
+from ..staging import spread
 
 NO_EDITION = -(1 << 63)
 
@@ -23,7 +24,7 @@ def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", sit
     """
     from ..functions.text import tokens
 
-    with_tokens = docs.select(
+    with_tokens = spread(docs).select(
         F.col(key).cast("string").alias("target"),
         (title if title is not None else F.lit(None).cast("string")).alias("title"),
         (site if site is not None else F.lit(None).cast("string")).alias("site"),
@@ -60,7 +61,7 @@ def postings_of_terms(docs: DataFrame, terms: list[str], key: str = "doc_id", te
     """
     from ..functions.text import tokens
 
-    found = docs.select(
+    found = spread(docs).select(
         F.col(key).cast("string").alias("target"), (site if site is not None else F.lit(None).cast("string")).alias("site"),
         (edition if edition is not None else F.lit(NO_EDITION)).cast("bigint").alias("edition"), tokens(F.col(text)).alias("words"),
     )

@@ -18,3 +18,19 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt over all cores; larger tables, and streams, stay as they are read.
+
+    A file with a single row group is a single task, however many cores wait.  Where the input has at least one split
+    for each core nothing is shuffled.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    cores = spark.sparkContext.defaultParallelism
+    split = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
