@@ -215,16 +215,19 @@ class Scorer:
 
 def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | None:
     """Learn from text and non-null lang of docs.  The sample is bounded (see the constants above) and picked by hash."""
-    rows = docs.where("lang is not null and text is not null")
+    rows = docs.where("lang is not null and text <> ''")
     if where is not None:
         rows = rows.where(where)
-    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("language sample")).alias("draw"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("draws")).orderBy(F.desc("n"), "lang").limit(languages)
+    known = {r["lang"]: r["draws"] for r in sizes.collect()}
     if not known:
         return None
-    draw = F.xxhash64("doc_id", F.lit("language sample"))
+    # the smallest draws of a language lie under a bound known from their number; so only about twice the sample is shuffled, however large the language
+    bounds = docs.sparkSession.createDataFrame([(lang, 2 * ROWS_PER_LANGUAGE / draws) for lang, draws in known.items()], "lang string, below double")
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - CHARS + 1, F.lit(1))) + 1
-    ranked = rows.select("lang", draw.alias("draw"), F.col("text").substr(place.cast("int"), F.lit(CHARS)).alias("text"))
-    ranked = ranked.where(F.col("text") != "")
+    ranked = rows.join(F.broadcast(bounds), "lang").where(F.col("draw") / 2.0**64 + 0.5 < F.col("below"))
+    ranked = ranked.select("lang", "draw", F.col("text").substr(place.cast("int"), F.lit(CHARS)).alias("text"))
     # a row limit in each language, which Spark applies in every task before it shuffles
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(f"n <= {ROWS_PER_LANGUAGE}")
     place_of = {lang: k for k, lang in enumerate(sorted(known))}
