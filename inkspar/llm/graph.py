@@ -12,18 +12,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): root is the smallest node of the component; nodes without an edge do not appear.
 
     Large-star and small-star steps in turn: each rewires every edge to the smallest neighbour, so the graph becomes a
-    set of stars in a logarithmic number of rounds.  No step gathers a node's neighbours in one place.
+    set of stars in a logarithmic number of rounds.  No step gathers a node's neighbours in one place: smallest neighbours come
+    from aggregations with partial results, and are written before they are joined to the edges, so that both sides of the
+    join are plain exchanges, whose partitions adaptive execution splits where a hub has many edges.
     """
     both = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         # large star: neighbours above u move to u's smallest neighbour
         sym = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage(sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large)
         # small star: u and its neighbours below move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         both = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = both.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -181,6 +181,9 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (1, 2), (7, 7)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 1: 1, 2: 1}
     assert components(edges.limit(0)).count() == 0
+    hub = spark.range(2, 5002).selectExpr("if(id % 2 = 0, id, 1) as a", "if(id % 2 = 0, 1, id) as b").union(spark.range(6000, 6300).selectExpr("id as a", "id + 1 as b"))
+    roots = components(hub).groupBy("root").count().collect()
+    assert sorted(map(tuple, roots)) == [(1, 5001), (6000, 301)]
 
 
 def test_surrogates():
