@@ -7,12 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from inkspar.llm import content_sort, language_id, pii, prob_minhash, vector_packing
 from inkspar.llm.common import stage, table, vocabulary
 
-#: A document goes only when it has no language at all (no letters); doubt between languages is no reason to drop it.
-LEAST_LANGUAGE_SCORE = 0.0
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_known(docs, language_id.fit(docs, ~language_id.held_out()), LEAST_LANGUAGE_SCORE)
+    """Without texts that have no letter or score as letter junk; doubt between languages is no reason to drop a document."""
+    return language_id.keep_known(docs, *language_id.fit_gate(docs, ~language_id.held_out()))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,15 @@ from the zero state.
 Defined results: a text that is null or has no letter is `und` with score 0; an empty table gives no rows; languages are those
 of the training rows, and without any training row everything is `und`; repeated rows get the same answer; other
 columns are ignored.
+
+`fit_gate` learns one class more, letter junk made from the sample, and fits the least score on rows that training did not
+see; `keep_known` then drops what scores below it.  Texts of fewer than SHORT letters are too short to judge and stay, and
+without a model every text with a letter stays.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +37,8 @@ ROWS_PER_LANGUAGE, CHARS = 400, 1500
 LANGUAGES = 400
 STEPS, BATCH, TRAIN_WINDOW, RATE = 400, 192, 64, 0.02
 WINDOW, LANES = 128, 1024
+#: Letters below which a text is not judged as junk, and the share of labelled rows that may score below the fitted bound.
+SHORT, LOST = 24, 0.001
 UNDETERMINED = "und"
 PAD = 256
 
@@ -90,15 +97,17 @@ def states(embed: np.ndarray, inner: np.ndarray, x: np.ndarray, keep: dict | Non
         yield h
 
 
-def train(samples: list[tuple[bytes, int]], languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7) -> Network:
-    """Adam on the mean cross entropy of all positions of random windows, all languages alike often."""
+def train(samples: list[tuple[bytes, int]], languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7, last: float = 0) -> Network:
+    """Adam on the mean cross entropy of all positions of random windows, all languages alike often, or the last one with that share."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(languages, hidden, rng)
     by = [[s for s, k in samples if k == lang and s] for lang in range(len(languages))]
     first, second = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
     for step in range(1, steps + 1):
         x = np.full((TRAIN_WINDOW, BATCH), PAD, np.int64)
-        y = rng.integers(0, len(languages), BATCH)
+        y = rng.integers(0, len(languages) - bool(last), BATCH)
+        if last:
+            y[rng.random(BATCH) < last] = len(languages) - 1
         for lane, k in enumerate(y):
             s = by[k][rng.integers(len(by[k]))]
             at = rng.integers(0, max(1, len(s) - TRAIN_WINDOW // 2))
@@ -214,7 +223,13 @@ class Scorer:
 
 
 def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | None:
-    """Learn from text and non-null lang of docs.  The sample is bounded (see the constants above) and picked by hash."""
+    """Learn from text and non-null lang of docs."""
+    samples, names = sample(docs, where, languages)
+    return train(samples, names) if names else None
+
+
+def sample(docs: DataFrame, where=None, languages: int = LANGUAGES) -> tuple[list[tuple[bytes, int]], list[str]]:
+    """Texts with the numbers of their languages, and the languages.  The sample is bounded (see the constants above) and picked by hash."""
     rows = docs.where("lang is not null and text <> ''")
     if where is not None:
         rows = rows.where(where)
@@ -222,7 +237,7 @@ def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | No
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("draws")).orderBy(F.desc("n"), "lang").limit(languages)
     known = {r["lang"]: r["draws"] for r in sizes.collect()}
     if not known:
-        return None
+        return [], []
     # the smallest draws of a language lie under a bound known from their number; so only about twice the sample is shuffled, however large the language
     bounds = docs.sparkSession.createDataFrame([(lang, 2 * ROWS_PER_LANGUAGE / draws) for lang, draws in known.items()], "lang string, below double")
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - CHARS + 1, F.lit(1))) + 1
@@ -234,10 +249,46 @@ def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | No
     samples = [(r["text"].encode(), place_of[r["lang"]]) for r in ranked.select("lang", "text", "n").collect() if r["lang"] in place_of]
     samples.sort()
     seen = sorted({k for _, k in samples})
-    if not seen:
-        return None
     names = sorted(known)
-    return train([(s, seen.index(k)) for s, k in samples], [names[k] for k in seen])
+    return [(s, seen.index(k)) for s, k in samples], [names[k] for k in seen]
+
+
+def letter_junk(text: bytes, kind: int, rng: np.random.Generator) -> bytes:
+    """Junk about as long as text: its letters dealt anew over its words, random letters, base64, or its bytes read in a wrong encoding."""
+    plain = text.decode("utf-8", "ignore")
+    if kind == 3:
+        wrong = text.decode("latin-1")
+        if sum(map(str.isascii, plain)) < 0.7 * len(plain):
+            return wrong.encode()
+        kind = 0  # such a text stays readable in the wrong encoding
+    if kind == 2:
+        return base64.b64encode(rng.bytes(max(1, len(text) * 3 // 4)))
+    pool = np.array([c for c in plain if c.isalpha()] if kind == 0 else list("abcdefghijklmnopqrstuvwxyz"))
+    if not len(pool):
+        return text
+    drawn = iter((rng.permutation(pool) if kind == 0 else rng.choice(pool, len(plain))).tolist())
+    return "".join(next(drawn) if c.isalpha() else c for c in plain).encode()
+
+
+def fit_gate(docs: DataFrame, where=None, languages: int = LANGUAGES, seed: int = 11) -> tuple[Network | None, float]:
+    """A network whose last class is letter junk, and the least score of a text that is none."""
+    samples, names = sample(docs, where, languages)
+    if not names:
+        return None, 0.0
+    rng = np.random.default_rng(seed)
+    mixed = [samples[k] for k in rng.permutation(len(samples))]
+    known = [s for s in mixed if sum(map(str.isalpha, s[0].decode("utf-8", "ignore"))) >= SHORT] or mixed
+    cut = max(1, len(known) // 4)
+    tried, learned = known[:cut], [s for s in mixed if s not in set(known[:cut])] or mixed
+    junk = [(letter_junk(s, kind, rng), len(names)) for s, _ in learned for kind in range(4)]
+    seen = sorted({k for _, k in learned})
+    net = train([(s, [*seen, len(names)].index(k)) for s, k in learned + junk], [*[names[k] for k in seen], UNDETERMINED], last=0.5)
+    # whole texts and short pieces of them, which score less surely
+    pieces = [p for s, _ in tried for p in (s, s[: 2 * SHORT], s[: 8 * SHORT])]
+    scorer = Scorer(net)
+    clean = 1 - scorer.score(pieces)[:, -1]
+    # half of the lowest, as the rows to come are more than those tried
+    return net, float(np.quantile(clean, LOST)) / 2
 
 
 class Labeller:
@@ -256,7 +307,10 @@ class Labeller:
                 size += len(texts[rows[to]])
                 to += 1
             p = self.scorer.score([texts[k].encode() for k in rows[at:to]])
-            best = p.argmax(1)
+            gate = self.net.languages[-1] == UNDETERMINED  # the score is then that of being no junk
+            best = (p[:, :-1] if gate else p).argmax(1)
+            if gate:
+                p = np.repeat(1 - p[:, -1:], p.shape[1], 1)
             for k, b, q in zip(rows[at:to], best, p, strict=True):
                 lang[k], score[k] = self.net.languages[b], min(1.0, round(float(q[b]), 6))
             at = to
@@ -280,7 +334,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
-    """Rows whose language is determined with at least that score, with the columns of docs."""
+    """Rows with a letter that score at least that, are too short to judge or meet no network, with the columns of docs."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +342,9 @@ def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                lang, score = label(part.column("row").field("text").to_pylist())
-                keep = [k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)]
+                texts = part.column("row").field("text").to_pylist()
+                _, score = label(texts)
+                keep = [bool(t) and any(map(str.isalpha, t)) and (net is None or s >= least or sum(map(str.isalpha, t)) < SHORT) for t, s in zip(texts, score, strict=True)]
                 yield part.filter(pa.array(keep, pa.bool_()))
             free_memory()
 

@@ -373,3 +373,28 @@ def test_pipeline(spark, tmp_path):
         assert k == 4 or docs.columns == df.columns
     assert seen == [63, 62, 60, 60, 60]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 60
+
+
+def test_pipeline_language_stage(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    kinds = {"aa": ["bado", "kelu", "mino", "tarin", "sovel"], "cc": ["жизнь", "слово", "дерево", "город", "песня"]}
+    texts, langs = [], []
+    for k in range(240):
+        lang = rng.choice(sorted(kinds))
+        texts.append(" ".join(rng.choice(kinds[lang]) + rng.choice(["a", "e", "о"][: 2 if lang == "aa" else 3]) for _ in range(rng.randrange(8, 120))))
+        langs.append(lang)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + " " * (rng.random() < 0.2) for _ in range(300)) for _ in range(20)]
+    coded = [base64.b64encode(rng.randbytes(200)).decode() for _ in range(20)]
+    wrong = [t.encode().decode("latin-1") for t, g in zip(texts, langs) if g == "cc"][:20]
+    junk = [*letters, *coded, *wrong]
+    rows = [(k, t, g) for k, (t, g) in enumerate(zip(texts, langs))] + [(1000 + k, t, None) for k, t in enumerate(junk)] + [(2000, "Bado.", None), (2001, "12", None), (2002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert set(range(240)) <= kept and 2000 in kept and not kept & {2001, 2002}
+    assert len([k for k in kept if 1000 <= k < 2000]) <= 3
+    untaught = corpus_pipeline.known_language(spark, df.withColumn("lang", df["lang"].substr(1, 0)).replace("", None, ["lang"]), "")
+    assert {r["doc_id"] for r in untaught.collect()} == {k for k, _, _ in rows} - {2001, 2002}
