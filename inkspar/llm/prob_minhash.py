@@ -2,9 +2,10 @@
 
 Every shingle of five words is a source of a Poisson process whose rate is its weight (1 + ln of its count); an arrival
 picks one of M registers, and a register keeps the shingle that reaches it first.  Two texts agree in a register with
-their probability Jaccard.  A shingle's arrivals end as soon as they are later than the latest register.  Bands
-of registers that agree make candidates; candidates are filtered by the share of equal registers and then verified on
-the texts themselves.  Texts are linked when the probability Jaccard or the plain Jaccard of their shingles is 0.8
+their probability Jaccard.  A shingle's arrivals end as soon as they are later than the latest register.  Texts in which a
+shingle repeats have a second signature with all weights 1, for the plain Jaccard; for the others both are one.  Bands
+of registers that agree, of either signature, make candidates; candidates are filtered by the larger share of equal
+registers of both and then verified on the texts themselves.  Texts are linked when the probability Jaccard or the plain Jaccard of their shingles is 0.8
 or more, and the classes are the connected components of the links.
 
 Work is kept linear in a bucket: equal texts (same words) are one node; the nodes of a bucket are sorted and
@@ -141,13 +142,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, counts = word_hashes(texts.slice(a, b - a))
             doc, sh, n = shingles(hashes, counts)
             sig = signatures(doc, sh, weights(n), b - a)
+            uneven = np.zeros(b - a, bool)
+            uneven[doc[n > 1]] = True
+            again = uneven[doc]
+            plain = iter(signatures((np.cumsum(uneven) - 1)[doc[again]], sh[again], np.ones(int(again.sum())), int(uneven.sum())))
             ends = np.cumsum(counts)
             raw = hashes.tobytes()
             node = [hashlib.blake2b(raw[8 * (e - c) : 8 * e], digest_size=16).digest() if c else None for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             ids = batch.column("doc_id").slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("ord").slice(a, b - a), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary())],
-                ["doc_id", "ord", "node", "sig"],
+                [ids, batch.column("ord").slice(a, b - a), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary()), pa.array([next(plain).tobytes() if u else None for u in uneven], pa.binary())],
+                ["doc_id", "ord", "node", "sig", "plain"],
             )
         free_memory()
 
@@ -187,8 +192,12 @@ def share(a: Iterator[bytes], b: Iterator[bytes]) -> np.ndarray:
 
 
 @F.pandas_udf(T.DoubleType())
-def _share(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(share(a, b))
+def _share(a: pd.Series, b: pd.Series, plain_a: pd.Series, plain_b: pd.Series) -> pd.Series:
+    """The larger share of both signatures; a text without a second one has the first in its place."""
+    out = share(a, b)
+    more = (plain_a.notna() | plain_b.notna()).to_numpy()
+    out[more] = np.maximum(out[more], share(plain_a.fillna(a)[more], plain_b.fillna(b)[more]))
+    return pd.Series(out)
 
 
 def similarity(a: dict[int, float], b: dict[int, float]) -> tuple[float, float]:
@@ -295,6 +304,13 @@ def _blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def band_keys():
+    """Of a node: the bands of both its signatures, in one domain, as a text without a second one is found by both."""
+    step = 4 * ROWS
+    sig, plain = (F.array(*[F.xxhash64(F.lit(k), F.substring(s, 1 + k * step, step)) for k in range(BANDS)]) for s in ("sig", "plain"))
+    return F.when(F.col("plain").isNull(), sig).otherwise(F.array_union(sig, plain))
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, class_id (the smallest id of the class), class_size, kept (the one row of the class that stays)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -306,14 +322,12 @@ def classes(rows: DataFrame) -> DataFrame:
     """doc_id, ord, class_id, class_size, kept of rows doc_id, text."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = stage(map_texts(_with_order(rows), _sign, "doc_id long, ord long, node binary, sig binary"))
+    signed = stage(map_texts(_with_order(rows), _sign, "doc_id long, ord long, node binary, sig binary, plain binary"))
     linkable = signed.where("node is not null")
-    nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.min("ord").alias("at")))
+    nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.first("plain").alias("plain"), F.min("ord").alias("at")))
 
     # candidates: bands, sorted by key, each node with the first of its bucket
-    step = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * step, step)) for k in range(BANDS)])
-    banded = nodes.select("node", F.explode(keys).alias("key"))
+    banded = nodes.select("node", F.explode(band_keys()).alias("key"))
     # the sort runs over (key, node): a bucket of any size is cut into partitions
     ordered = banded.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
     stars = stage(map_texts(ordered, _stars, "key long, a binary, b binary, edge boolean"))
@@ -370,9 +384,9 @@ def _root(root: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", _share("sa", "sb").alias("share"))
+    a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("plain").alias("pa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("plain").alias("pb"))
+    scored = pairs.join(a, "a").join(b, "b").select("a", "b", _share("sa", "sb", "pa", "pb").alias("share"))
     return stage(scored.where(F.col("share") >= LEAST_SHARE))
 
 

@@ -398,3 +398,17 @@ def test_pipeline_language_stage(spark):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 3
     untaught = corpus_pipeline.known_language(spark, df.withColumn("lang", df["lang"].substr(1, 0)).replace("", None, ["lang"]), "")
     assert {r["doc_id"] for r in untaught.collect()} == {k for k, _, _ in rows} - {2001, 2002}
+
+
+def test_near_duplicates_by_plain_similarity_alone(spark):
+    rng = random.Random(31)
+    texts = []
+    for repeats in (20, 50) * 6:
+        own, passage = ([f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (120, 60))
+        texts.append(" ".join(own + passage))
+        own[30], own[90] = "changed", "twice"
+        texts.append(" ".join(own + passage * repeats))
+    a, b = (shingle_set(t) for t in texts[2:4])
+    assert prob_minhash.similarity(a, b)[0] >= 0.8 and prob_minhash.similarity(a, b)[1] < 0.6
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts))) == {k: k - k % 2 for k in range(len(texts))}
