@@ -250,24 +250,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_memory()
 
 
-def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """n x n: how many shingles each two of the sets have in common."""
+def shared_counts(sets: list[np.ndarray], weight: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """n x n: how many shingles each two of the sets have in common, and which weight of the first's they have in it."""
     n = len(sets)
     doc = np.repeat(np.arange(n), [len(x) for x in sets])
     _, code, times = np.unique(np.concatenate([*sets, np.empty(0, _U)]), return_inverse=True, return_counts=True)
     often = times > 1
     place = np.cumsum(often) - 1
     keep = often[code]
-    doc, code = doc[keep], place[code[keep]]
-    out = np.zeros((n, n), np.float32)
+    doc, code, weight = doc[keep], place[code[keep]], np.concatenate([*weight, np.empty(0)])[keep]
+    out, heavy = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     order = np.argsort(code, kind="stable")
-    doc, code = doc[order], code[order]
+    doc, code, weight = doc[order], code[order], weight[order]
     for at in range(0, int(often.sum()), columns):
         lo, hi = np.searchsorted(code, [at, at + columns])
         part = np.zeros((n, columns), np.float32)
         part[doc[lo:hi], code[lo:hi] - at] = 1
         out += part @ part.T
-    return out
+        weighed = np.zeros((n, columns), np.float32)
+        weighed[doc[lo:hi], code[lo:hi] - at] = weight[lo:hi]
+        heavy += weighed @ part.T
+    return out, heavy
 
 
 def _blocks(group: pd.DataFrame) -> pd.DataFrame:
@@ -282,12 +285,17 @@ def _blocks(group: pd.DataFrame) -> pd.DataFrame:
     w = weights(count)
     even = np.array([(count[p:q] == 1).all() for p, q in zip(ends[:-1], ends[1:], strict=True)])
     size = np.diff(ends).astype(np.float32)
-    both = shared_counts(sets)
+    each = [w[p:q] for p, q in zip(ends[:-1], ends[1:], strict=True)]
+    both, heavy = shared_counts(sets, each)
+    # a shared d adds 1 / sum of max(wa(e)/wa(d), wb(e)/wb(d)), at most wa(d) / sum of wa, and so for b: no pair has a larger
+    # probability Jaccard than the share of its common shingles in the weight of either text
+    most = heavy / np.array([x.sum() for x in each], np.float32)[:, None]
+    most = np.minimum(most, most.T)
     plain = both / (size[:, None] + size - both)
     _, root = np.unique(np.array([r.hex() for r in group["root"]]), return_inverse=True)
     root = root.copy()
-    # plain Jaccard settles it, and is the probability Jaccard where no shingle repeats; 0.6 leaves room for the rest
-    near = np.triu((plain >= SIMILARITY - 1e-6) | ((plain >= LEAST_SHARE) & ~(even[:, None] & even)), 1)
+    # plain Jaccard settles it, and is the probability Jaccard where no shingle repeats; float32 sums are good to 1e-4
+    near = np.triu((plain >= SIMILARITY - 1e-6) | ((most >= SIMILARITY - 1e-4) & ~(even[:, None] & even)), 1)
     near &= (side[:, None] != side) | (side[:, None] == 2)
     left, right = np.nonzero(near)
     order = np.argsort(-plain[left, right], kind="stable")
@@ -296,7 +304,7 @@ def _blocks(group: pd.DataFrame) -> pd.DataFrame:
         if root[i] == root[j]:
             continue
         if plain[i, j] < SIMILARITY + 1e-6:
-            a, b = ((sets[k], w[ends[k] : ends[k + 1]]) for k in (i, j))
+            a, b = ((sets[k], each[k]) for k in (i, j))
             if pair_similarity(a, b) < SIMILARITY - 1e-12:
                 continue
         root[root == root[i]] = root[j]

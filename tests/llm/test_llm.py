@@ -412,3 +412,17 @@ def test_near_duplicates_by_plain_similarity_alone(spark):
     assert prob_minhash.similarity(a, b)[0] >= 0.8 and prob_minhash.similarity(a, b)[1] < 0.6
     got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(frame(spark, texts)).collect()}
     assert got == dict(enumerate(brute_classes(texts))) == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_blocks_link_by_probability_similarity_alone():
+    import pandas as pd
+
+    rng = random.Random(32)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join([f"o{rng.randrange(10**6)}" for _ in range(18)] + passage * 60) for _ in range(3)] + [" ".join(f"q{k}" for k in range(60))]
+    plain, prob = prob_minhash.similarity(*map(shingle_set, texts[:2]))
+    assert plain < 0.6 and prob >= 0.8
+    names = [bytes([k]) for k in range(4)]
+    for sides in ([2] * 4, [0, 0, 1, 1]):
+        links = prob_minhash._blocks(pd.DataFrame({"node": names, "root": names, "text": texts, "side": sides}))
+        assert len(links) == 2 and {x for r in links.itertuples(index=False) for x in r} == set(names[:3])
