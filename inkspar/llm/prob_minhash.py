@@ -10,7 +10,7 @@ or more, and the classes are the connected components of the links.
 
 Work is kept linear in a bucket: equal texts (same words) are one node; the nodes of a bucket are sorted and
 cut where partitions end, and each is paired with the first one only.  Buckets whose other nodes still lie in different
-components after that are compared block against block, inside tasks that return at most one link for each node,
+components after that, or also the first where a bucket was cut, are compared block against block, inside tasks that return at most one link for each node,
 so that no link is lost and no list of all pairs is ever made.
 
 Defined results: words are lower-cased and cut at white space; a text of one to four words is one shingle; texts with no
@@ -357,7 +357,9 @@ def classes(rows: DataFrame) -> DataFrame:
     root = components(links)
 
     # buckets whose nodes apart from the first lie in different components
-    rooted = members.join(_root(root, "b", "rb"), "b", "left").select("key", "a", "b", F.coalesce("rb", "b").alias("rb"))
+    # where a bucket lies across partitions, its first node was not compared with all the others and counts as one of them
+    first = across.select("key", "a", F.col("a").alias("b")).distinct()
+    rooted = members.union(first).join(_root(root, "b", "rb"), "b", "left").select("key", "a", "b", F.coalesce("rb", "b").alias("rb"))
     mixed = rooted.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = stage(mixed.select("key", "n"))
     left = rooted.join(mixed, "key").select("key", "n", F.col("b").alias("node"), F.col("rb").alias("root"))

@@ -426,3 +426,22 @@ def test_blocks_link_by_probability_similarity_alone():
     for sides in ([2] * 4, [0, 0, 1, 1]):
         links = prob_minhash._blocks(pd.DataFrame({"node": names, "root": names, "text": texts, "side": sides}))
         assert len(links) == 2 and {x for r in links.itertuples(index=False) for x in r} == set(names[:3])
+
+
+def test_bucket_across_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def node(text):
+        return hashlib.blake2b(prob_minhash.word_hashes(pa.array([text], pa.large_string()))[0].tobytes(), digest_size=16).digest()
+
+    rng = random.Random(33)
+    base = [f"b{k}" for k in range(120)]
+    copies = [" ".join(base[: 9 * k] + [f"n{k}_{j}" for j in range(8)] + base[9 * k + 8 :]) for k in range(12)]
+    sets = [shingle_set(t) for t in copies]
+    assert max(prob_minhash.similarity(sets[a], sets[b])[0] for a in range(12) for b in range(a)) < 0.8
+    # the original comes first by hash: a last word that no copy has is free
+    original = next(t for t in (" ".join([*base, f"end{rng.randrange(10**9)}"]) for _ in range(10**5)) if node(t) < min(map(node, copies)))
+    assert min(prob_minhash.similarity(shingle_set(original), s)[0] for s in sets) >= 0.8
+    monkeypatch.setattr(prob_minhash, "band_keys", lambda: F.array(F.lit(1).cast("long")))
+    got = prob_minhash.near_duplicates(frame(spark, [*copies, original]).repartition(3)).collect()
+    assert {r["class_id"] for r in got} == {0}
