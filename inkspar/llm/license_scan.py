@@ -13,6 +13,7 @@ matches in one text are all reported; an empty table gives no rows; other column
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from .prob_minhash import by_bytes, mix
 
 GRAM, WINNOW = 3, 2
 BAND = 12
+REACH = 3
 COVERAGE = 0.8
 SCHEMA = "doc_id long, license string, coverage double, start long, end long, matched_words long, spans string"
 
@@ -151,6 +153,33 @@ def align(template: list[str], words: list[str], low: int, high: int) -> list[tu
     return out[::-1]
 
 
+def repeats(template: list[str], words: list[str], hits: list[tuple[int, int]], coverage: float) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of enough coverage around hits (place, diagonal), sorted, none of which shares a word with another.
+
+    After an alignment the words on both sides of it are looked at in the same way.  An inserted word costs half a match, so an
+    occurrence spans at most REACH times the template's words: windows of twice that around the first hit see it whole.
+    """
+    reach = REACH * len(template)
+    ranges = [(0, len(words), 0)]
+    while ranges:
+        low, high, after = ranges.pop()
+        inside = hits[bisect_left(hits, (max(low, after), -len(words))) : bisect_left(hits, (high - GRAM + 1, -len(words) - len(template)))]
+        if not inside:
+            continue
+        first = inside[0][0]
+        a, b = max(low, first - reach), min(high, first + 2 * reach)
+        ds = [d for p, d in inside if p + GRAM <= b]
+        if not ds:
+            continue
+        matched = [(i, j + a) for i, j in align(template, words[a:b], min(ds) - BAND - a, max(ds) + BAND - a)]
+        if len(matched) / len(template) >= coverage:
+            yield matched
+            ranges += [(low, matched[0][1], after), (matched[-1][1] + 1, high, after)]
+        else:
+            # all that holds a hit up to first + reach lay in the window
+            ranges.append((low, high, first + reach + 1))
+
+
 def scan(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     """(license, coverage, start, end, matched words, spans) of one text."""
     words, start, end = words_of(text)
@@ -158,23 +187,22 @@ def scan(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     prints = winnow(g)
     # texts shorter than a window of grams have few fingerprints, all their grams are looked up
     prints = prints[index.hits(g[prints])] if len(prints) else prints
-    diagonals: dict[int, list[int]] = defaultdict(list)
+    diagonals: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in prints.tolist():
         for t, q in index.postings[int(g[p])]:
-            diagonals[t].append(p - q)
+            diagonals[t].append((p - q, p))
     found = []
     for t, ds in diagonals.items():
         template = index.words[t]
         ds = sorted(set(ds))
         groups = [[ds[0]]]
         for d in ds[1:]:
-            if d - groups[-1][-1] > BAND:
+            if d[0] - groups[-1][-1][0] > BAND:
                 groups.append([])
             groups[-1].append(d)
         for group in groups:
-            matched = align(template, words, group[0] - BAND, group[-1] + BAND)
-            share = len(matched) / len(template)
-            if share >= coverage:
+            for matched in repeats(template, words, sorted((p, d) for d, p in group), coverage):
+                share = len(matched) / len(template)
                 places = [j for _, j in matched]
                 runs = [[places[0], places[0]]]
                 for j in places[1:]:

@@ -445,3 +445,14 @@ def test_bucket_across_partitions(spark, monkeypatch):
     monkeypatch.setattr(prob_minhash, "band_keys", lambda: F.array(F.lit(1).cast("long")))
     got = prob_minhash.near_duplicates(frame(spark, [*copies, original]).repartition(3)).collect()
     assert {r["class_id"] for r in got} == {0}
+
+
+def test_license_repeats():
+    index, t = license_scan.Index(license_scan.TEMPLATES), license_scan.TEMPLATES
+    for name in ("MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "MIT-text"):
+        for times, between in ((2, " "), (30, "\n"), (7, " some words "), (300 if len(t[name]) < 100 else 3, "\n\n")):
+            text = between.join([t[name]] * times)
+            found = [f for f in license_scan.scan(text, index) if f[0] == name]
+            assert [f[2] for f in found] == [k * len(t[name] + between) for k in range(times)] and all(f[1] == 1 for f in found)
+    mixed = "Released under the MIT License. Released under the MIT Agreement. Released under the MIT License."
+    assert [f[1] for f in license_scan.scan(mixed, index)] == [1.0, 0.8, 1.0]
