@@ -10,6 +10,12 @@ Collision checks remain for what comes from two domains: letters of names that w
 
 Defined results: null text stays null and counts no entity; empty text stays empty; matches do not overlap, the type named
 first wins; repeated rows give repeated results; an empty table gives no rows; other columns are carried unread.
+
+A person is a title or a listed given name and up to NAMES_AFTER capitalised words or initials after it, with particles (which
+stay) between them, so a capitalised word that follows a name without punctuation is taken for a part of it.  Not detected:
+names with neither title nor listed given name before them, a given name alone, names in capitals or small letters only,
+parts joined by "y", "und" and the like, and telephone numbers without a plus that are written in other ways than (3) 3-4,
+3-3-4, 0 and area code with a space, or 0 and pairs of digits; groups of three alone are left as they may be amounts.
 """
 
 from __future__ import annotations
@@ -28,6 +34,9 @@ from .common import map_texts, table
 KEY = b"inkspar demonstration key"
 TYPES = ["email", "iban", "ipv4", "card", "phone", "person"]
 
+#: Names and initials after a title or a given name, and what may stand between them.
+NAMES_AFTER = 4
+PARTICLES = set("von vom van de del della di da do dos das du la le los las den der ter ten zu zum zur bin ibn al el af av".split())
 #: Titles tell the gender of the name after them; "" for either.
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "M.": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m",
@@ -230,7 +239,11 @@ class Surrogates:
                 gender = gender or TITLES.get(bare, TITLES.get(w, ""))
                 out.append(w)
                 continue
-            out.append(self.given(w, gender) if first and w.lower() in NAMES else self.letters(w, "surname"))
+            if w in PARTICLES:
+                out.append(w)
+                continue
+            # listed names at any place: their letters' images belong to other words
+            out.append(self.given(w, gender) if w.lower() in NAMES else self.letters(w, "surname"))
             first = False
         return "".join(out)
 
@@ -242,15 +255,17 @@ _EMAIL_DOMAIN = re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\
 _NUMBER = re.compile(
     rf"(?P<ipv4>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))"
     r"|(?P<card>(?<![\w+])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\w))"
-    r"|(?P<phone>(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w|\.\d))",
+    r"|(?P<phone>(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
+    r"|(?<!\d )(?:\d{3} \d{3} \d{4}|0\d(?:[ .]\d{2}){4}|0\d{1,4} \d{3,8}(?: \d{2,4}){0,2}))(?!\w|\.\d))",
     re.ASCII,
 )
 _RUN = re.compile(r"[+(]?\d[\d ().+-]{5,}\d", re.ASCII)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IBAN_START = re.compile(r"(?<![^\W_])[A-Z]{2}\d\d(?=[ A-Z0-9]{10})")
 _NAME = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
-_TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? +(?P<name>{_NAME}(?: {_NAME})?)")
-_LISTED = re.compile(rf"(?<!\w)(?:{'|'.join(n for names in GIVEN.values() for n in names)}) (?P<name>{_NAME})(?!\w)")
+_TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.?(?= )")
+_LISTED = re.compile(rf"(?<!\w)(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?= )")
+_NEXT = re.compile(rf" +(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) +){{0,3}}(?P<name>[^\W\d_]\.(?= )|{_NAME}(?!\w))")
 _TITLE_WORDS = sorted(TITLES)
 _GIVEN_WORDS = sorted(n for names in GIVEN.values() for n in names)
 
@@ -260,6 +275,16 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def names_end(text: str, at: int) -> int:
+    """Where the names that follow a title or a given name end; at, if there are none."""
+    for _ in range(NAMES_AFTER):
+        m = _NEXT.match(text, at)
+        if not m or not m["name"][0].isupper():
+            break
+        at = m.end()
+    return at
+
+
 class Detector:
     """Spans (start, end, type) of a text, in order and without overlaps."""
 
@@ -295,8 +320,8 @@ class Detector:
             start = max(0, text.rfind(word, 0, end + 1))
             for pattern in (_TITLE, _LISTED):
                 m = pattern.match(text, start)
-                if m and all(w[0].isupper() for w in re.split(r"[ .]+", m[0]) if w):
-                    found.append((m.start(), m.end(), "person"))
+                if m and (stop := names_end(text, m.end())) > m.end():
+                    found.append((m.start(), stop, "person"))
                     break
         rank = {t: k for k, t in enumerate(TYPES)}
         found.sort(key=lambda s: (rank[s[2]], s[0] - s[1], s[0]))

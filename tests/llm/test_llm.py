@@ -456,3 +456,24 @@ def test_license_repeats():
             assert [f[2] for f in found] == [k * len(t[name] + between) for k in range(times)] and all(f[1] == 1 for f in found)
     mixed = "Released under the MIT License. Released under the MIT Agreement. Released under the MIT License."
     assert [f[1] for f in license_scan.scan(mixed, index)] == [1.0, 0.8, 1.0]
+
+
+def test_surrogates_of_long_names_and_national_numbers():
+    made, detect = pii.Surrogates(b"k"), pii.Detector()
+    people = ["John Fitzgerald Kennedy", "Dr. Hans Peter Mueller", "Carlos Garcia Lopez", "Anna Maria Schmidt", "John F. Kennedy", "Carlos de la Cruz", "Mr Smith", "Herr von der Leyen", "Frau Dr. Petra van den Berg"]
+    phones = ["555 123 4567", "030 1234567", "020 7946 0958", "01 23 45 67 89"]
+    for kind, entities in (("person", people), ("phone", phones)):
+        for e in entities:
+            text = f"then {e} came, in 2020 and 12 345 678 times."
+            spans = detect(text)
+            assert [k for _, _, k in spans][:1] == [kind], e
+            new, _ = pii.rewrite(text, spans, made)
+            covered = text[spans[0][0] : spans[-1][1]]
+            assert covered.endswith(e.split()[-1]) and (kind == "person" or covered == e), (e, covered)
+            assert new.endswith(" came, in 2020 and 12 345 678 times.")
+            if kind == "person":
+                assert not {w for w in e.replace(".", "").split() if w[0].isupper() and w not in pii.TITLES} & set(new.split()), (e, new)
+            else:
+                assert e not in new
+    seconds = [made.person(f"Mr John {w}") for w in [*pii.GIVEN["m", "latin"], *pii.GIVEN["f", "latin"]]]
+    assert len(set(seconds)) == len(seconds)
