@@ -2,9 +2,10 @@
 
 Several Hilbert curves are laid through randomly rotated, projected and shifted copies of the vectors.  Vectors are
 range-partitioned by their key on each curve, a query looks at a window of keys around its own, and the candidates of all
-windows are merged and ranked by the exact distance of the original vectors.  Curves and the width of the window are
-fitted on a bounded sample: the window is the smallest share of the rows that reaches the wanted recall there.  Only the
-fit sees a sample; all rows are indexed.  A query goes to the partitions its windows overlap, so no partition has to
+windows are merged and ranked by the exact distance of the original vectors.  The number of curves and the width of the
+window are fitted on a bounded sample: for each number of curves the window is the smallest share of the rows that reaches
+the wanted recall there, and the number is the one with the least work, counted in distances (`work`).  Clustered vectors get many
+curves with narrow windows; vectors without any structure get few curves with wide ones.  Only the fit sees a sample; all rows are indexed.  A query goes to the partitions its windows overlap, so no partition has to
 hold more than its own range, and what is sent back is bounded by the number of neighbours.
 
 Equal vectors have equal keys on every curve and would make a hot range.  They are one entry of the index, with the
@@ -30,12 +31,17 @@ from .common import stage, table
 
 #: Projected dimensions and bits of each, of a key of at most 63 bits.
 DIMENSIONS, BITS = 10, 6
-CURVES = 8
+#: Numbers of curves to choose from.
+CURVES = (2, 4, 8, 16, 32)
+#: What it costs to place a row on one more curve, in distances.
+PLACING = 250
 #: Bound of the sample that curves and windows are fitted on, and of its queries.
 SAMPLE, SAMPLE_QUERIES = 6000, 300
 #: Recall that the window must reach on the sample.
 RECALL = 0.96
 NEIGHBOURS = 10
+#: Queries whose distances are one matrix product.
+BLOCK = 64
 #: Entries and queries that meet in one task; larger ranges are cut, and each cut of one side meets each of the other.
 ENTRIES, QUERIES = 60_000, 20_000
 #: Rows of a range, as long as the sample gives enough borders; a query gets partial results from each range it sees.
@@ -99,12 +105,23 @@ class Curves:
         return np.where(low < 0, floor, ranks[np.maximum(low, 0)]), np.where(high >= n, top, ranks[np.minimum(high, n - 1)])
 
 
-def fit_curves(sample: np.ndarray, neighbours: int = NEIGHBOURS, curves: int = CURVES, recall: float = RECALL, seed: int = 11) -> Curves:
+def window_share(reach: float) -> float:
+    """Share of all rows in a window of that reach, on average over places: it ends where the curve does."""
+    return 2 * reach - reach * reach if reach < 1 else 1.0
+
+
+def work(curves: int, reach: float, queries: int) -> float:
+    """For each row of the index: places on curves and distances to queries, in distances."""
+    return curves * (PLACING + queries * window_share(reach))
+
+
+def fit_curves(sample: np.ndarray, neighbours: int = NEIGHBOURS, curves: tuple[int, ...] = CURVES, recall: float = RECALL, queries: int = 1000, seed: int = 11) -> Curves:
     rng = np.random.default_rng(seed)
     n, d = sample.shape
     k = min(DIMENSIONS, d)
     turn, steps = [], []
-    for _ in range(curves):
+    most = max(curves) if n > neighbours + 1 else min(curves)
+    for _ in range(most):
         q, _ = np.linalg.qr(rng.normal(size=(d, d)))
         turn.append(q[:, :k])
         y = np.sort(sample @ q[:, :k], axis=0)
@@ -112,23 +129,25 @@ def fit_curves(sample: np.ndarray, neighbours: int = NEIGHBOURS, curves: int = C
         shift = rng.random(k)
         places = np.clip(((np.arange(1, cells)[:, None] - 0.5 + shift) / cells * n).astype(int), 0, n - 1)
         steps.append(np.take_along_axis(y, places, 0).T)
-    made = Curves(np.array(turn), np.array(steps), np.zeros((curves, 0), np.int64), 1.0)
+    made = Curves(np.array(turn), np.array(steps), np.zeros((most, 0), np.int64), 1.0)
     keys = made.keys(sample)
     made.ranks = np.sort(keys, axis=1)
-    if n > neighbours + 1:
-        # place of each sample row on each curve; a neighbour is found when one curve has it near enough
-        place = np.empty_like(keys)
-        for c in range(curves):
-            place[c, np.argsort(keys[c], kind="stable")] = np.arange(n)
-        queries = rng.choice(n, min(SAMPLE_QUERIES, n), replace=False)
-        gaps = []
-        for at in queries:
-            dist = ((sample - sample[at]) ** 2).sum(1)
-            dist[at] = np.inf
-            near = np.argpartition(dist, neighbours)[:neighbours]
-            gaps.append(np.abs(place[:, near] - place[:, [at]]).min(0))
-        made.reach = float(np.quantile(np.concatenate(gaps), recall)) / n
-    return made
+    if n <= neighbours + 1:
+        return made
+    # place of each sample row on each curve; a neighbour is found when one curve has it near enough
+    place = np.empty_like(keys)
+    for c in range(most):
+        place[c, np.argsort(keys[c], kind="stable")] = np.arange(n)
+    gaps = []
+    for at in rng.choice(n, min(SAMPLE_QUERIES, n), replace=False):
+        dist = ((sample - sample[at]) ** 2).sum(1)
+        dist[at] = np.inf
+        near = np.argpartition(dist, neighbours)[:neighbours]
+        gaps.append(np.minimum.accumulate(np.abs(place[:, near] - place[:, [at]])))
+    best = np.concatenate(gaps, axis=1)  # row c: the smallest gap on the first c + 1 curves
+    reach = {c: float(np.quantile(best[c - 1], recall)) / n for c in curves}
+    chosen = min(curves, key=lambda c: work(c, reach[c], queries))
+    return Curves(made.turn[:chosen], made.steps[:chosen], made.ranks[:chosen], reach[chosen])
 
 
 def _usable(rows: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
@@ -137,7 +156,7 @@ def _usable(rows: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
     return rows.where(ok if dim is None else ok & (F.size(v) == dim))
 
 
-def nearest(rows: DataFrame, is_query, neighbours: int = NEIGHBOURS, id_col: str = "vec_id", vector: str = "embedding", curves: int = CURVES, recall: float = RECALL) -> DataFrame:
+def nearest(rows: DataFrame, is_query, neighbours: int = NEIGHBOURS, id_col: str = "vec_id", vector: str = "embedding", curves: tuple[int, ...] = CURVES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: of each row where is_query holds, the nearest other rows by Euclidean distance."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -153,15 +172,15 @@ def nearest(rows: DataFrame, is_query, neighbours: int = NEIGHBOURS, id_col: str
     index = stage(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     drawn = index.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in drawn], float)
-    fitted = fit_curves(sample, neighbours, curves, recall)
+    chosen = stage(good.where(is_query(F.col("id"))).distinct().select(F.array("id").alias("ids"), "v"))
+    n, queries = index.count(), chosen.count()
+    fitted = fit_curves(sample, neighbours, curves, recall, queries)
     # borders at equal shares of the sample
-    n = index.count()
     parts = max(1, min(-(-n // RANGE), len(sample) // 32))
     borders = [np.unique(r[(np.arange(1, parts) * len(r)) // parts]) for r in fitted.ranks]
 
-    chosen = stage(good.where(is_query(F.col("id"))).distinct().select(F.array("id").alias("ids"), "v"))
     cuts = max(1, -(-n // (parts * ENTRIES)))
-    asks = max(1, int(-(-chosen.count() * (2 * fitted.reach + 2 / parts) // QUERIES)))
+    asks = max(1, int(-(-queries * (2 * fitted.reach + 2 / parts) // QUERIES)))
 
     def place(role: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +230,22 @@ def nearest(rows: DataFrame, is_query, neighbours: int = NEIGHBOURS, id_col: str
             a = np.searchsorted(keys, right.column("low").to_numpy(), "left")
             b = np.searchsorted(keys, right.column("high").to_numpy(), "right")
             norm = (x * x).sum(1)
-            for at in range(len(q)):
-                lo, hi = a[at], b[at]
-                if lo >= hi:
-                    continue
-                rough = norm[lo:hi] - 2 * (x[lo:hi] @ q[at])
-                m = min(neighbours + 1, hi - lo)
-                limit = np.partition(rough, m - 1)[m - 1]
-                near = lo + np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit)))
-                exact = np.sqrt(((x[near] - q[at]) ** 2).sum(1))
-                found = sorted((d, i) for d, e in zip(exact.tolist(), near.tolist(), strict=True) for i in flat[offsets[0][e] : offsets[1][e]].tolist() if i != qid[at])
-                out += [(int(qid[at]), i, d) for d, i in found[:neighbours]]
+            # queries in the order of their windows: those of a block overlap, and one matrix product serves them
+            turn = np.argsort(a + b, kind="stable")
+            turn = turn[a[turn] < b[turn]]
+            for block in range(0, len(turn), BLOCK):
+                some = turn[block : block + BLOCK]
+                base = a[some].min()
+                products = x[base : b[some].max()] @ q[some].T
+                for column, at in enumerate(some.tolist()):
+                    lo, hi = a[at], b[at]
+                    rough = norm[lo:hi] - 2 * products[lo - base : hi - base, column]
+                    m = min(neighbours + 1, hi - lo)
+                    limit = np.partition(rough, m - 1)[m - 1]
+                    near = lo + np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit)))
+                    exact = np.sqrt(((x[near] - q[at]) ** 2).sum(1))
+                    found = sorted((d, i) for d, e in zip(exact.tolist(), near.tolist(), strict=True) for i in flat[offsets[0][e] : offsets[1][e]].tolist() if i != qid[at])
+                    out += [(int(qid[at]), i, d) for d, i in found[:neighbours]]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
