@@ -204,16 +204,16 @@ def test_surrogates_are_permutations():
         assert sorted(image) == list(range(n)) and all(a != b for a, b in enumerate(image))
     made = pii.Surrogates(b"k")
     names = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "nmr"]
-    assert len({made.letters(n, "surname") for n in names}) == len(names)
+    assert len({made.letters(n) for n in names}) == len(names)
     assert len({made.ipv4(f"10.0.{a}.{b}") for a in range(20) for b in range(20)}) == 400
 
 
 def test_surrogates_on_spark(spark):
     df = frame(spark, [*ODD, "mail a.b@c.example.com", "again A.B@c.example.com", "other a.c@c.example.com"])
-    out = pii.surrogates(df)
+    out = pii.surrogates(df, b"k")
     assert {r["doc_id"]: r["text"] for r in out.collect()}[0] is None and pii.collisions(out).count() == 0
     kept = pii.replace_texts(df)
-    assert kept.columns == df.columns and kept.count() == df.count() and pii.surrogates(frame(spark, [])).count() == 0
+    assert kept.columns == df.columns and kept.count() == df.count() and pii.surrogates(frame(spark, []), b"k").count() == 0
 
 
 def test_hilbert_curve_is_one():

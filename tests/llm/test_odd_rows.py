@@ -39,7 +39,7 @@ def test_packing(odd):
 
 
 def test_surrogates(odd):
-    assert ids(pii.surrogates(odd)) == IDS
+    assert ids(pii.surrogates(odd, b"k")) == IDS
     out = pii.replace_texts(odd)
     assert ids(out) == IDS and out.columns == odd.columns and out.where("text is null").count() == 2
 
