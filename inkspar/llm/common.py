@@ -30,12 +30,15 @@ def vocabulary(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is a temporary folder made and recorded.
+    Where the session has none, a temporary folder is made and recorded, on a local master only: executors of a cluster do
+    not share it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("inkspar.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkspar-")
         spark.conf.set("inkspar.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,18 +52,17 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stage-" in f}:
-        if name.replace("file://", "").replace("file:", "").startswith(root.replace("file://", "").replace("file:", "")):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made from them is staged itself, or not used again."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_memory() -> None:
@@ -85,7 +87,3 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
             free_memory()
 
     return df.mapInArrow(tidy, schema)
-
-
-def same_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[f"`{c}`" for c in columns])

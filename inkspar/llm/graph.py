@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = stage(sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large)
+        release(low, both)
         # small star: u and its neighbours below move to the smallest of them
         low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         both = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        release(low, large)
         now = both.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = both.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return stage(both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+    out = stage(both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+    release(both)
+    return out

@@ -5,10 +5,12 @@ picks one of M registers, and a register keeps the shingle that reaches it first
 their probability Jaccard.  A shingle's arrivals end as soon as they are later than the latest register.  Texts in which a
 shingle repeats have a second signature with all weights 1, for the plain Jaccard; for the others both are one.  Bands
 of registers that agree, of either signature, make candidates; candidates are filtered by the larger share of equal
-registers of both and then verified on the texts themselves.  Texts are linked when the probability Jaccard or the plain Jaccard of their shingles is 0.8
+registers of both and then verified on the texts themselves.  As each similarity has a signature of its own, the bands overlook a pair
+at 0.8 with probability 3e-6, and the filter with 5e-8 (binomial, 160 registers); both only fall with the similarity.  Texts are linked when the probability Jaccard or the plain Jaccard of their shingles is 0.8
 or more, and the classes are the connected components of the links.
 
-Work is kept linear in a bucket: equal texts (same words) are one node; the nodes of a bucket are sorted and
+Rows are numbered in one table, written first, and everything reads that table, so a number means one row whatever
+happens to executors.  Work is kept linear in a bucket: equal texts (same words) are one node; the nodes of a bucket are sorted and
 cut where partitions end, and each is paired with the first one only.  Buckets whose other nodes still lie in different
 components after that, or also the first where a bucket was cut, are compared block against block, inside tasks that return at most one link for each node,
 so that no link is lost and no list of all pairs is ever made.
@@ -31,17 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_memory, map_texts, stage, table
+from .common import free_memory, map_texts, release, stage, table
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 registers miss a pair at 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Candidates with a smaller share of equal registers are dropped; at 0.8 this lies 6 standard deviations below.
+#: Candidates with a smaller share of equal registers are not verified; at 0.8 this lies 6 standard deviations below.
 LEAST_SHARE = 0.6
-#: Nodes in a block of a bucket.
-BLOCK = 384
+#: Nodes and words in a block of a bucket, on average.
+BLOCK, BLOCK_WORDS = 384, 500_000
 CHUNK = 1_000_000
 _U = np.uint64
 
@@ -151,8 +153,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = [hashlib.blake2b(raw[8 * (e - c) : 8 * e], digest_size=16).digest() if c else None for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             ids = batch.column("doc_id").slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("ord").slice(a, b - a), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary()), pa.array([next(plain).tobytes() if u else None for u in uneven], pa.binary())],
-                ["doc_id", "ord", "node", "sig", "plain"],
+                [ids, batch.column("ord").slice(a, b - a), pa.array(counts, pa.int64()), pa.array(node, pa.binary()), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts, strict=True)], pa.binary()), pa.array([next(plain).tobytes() if u else None for u in uneven], pa.binary())],
+                ["doc_id", "ord", "words", "node", "sig", "plain"],
             )
         free_memory()
 
@@ -321,18 +323,19 @@ def band_keys():
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, class_id (the smallest id of the class), class_size, kept (the one row of the class that stays)."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = stage(_numbered(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))))
     labels = classes(rows)
+    release(rows)
     return labels.select("doc_id", "class_id", "class_size", "kept")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """doc_id, ord, class_id, class_size, kept of rows doc_id, text."""
+    """doc_id, ord, class_id, class_size, kept of rows doc_id, text, ord, which are read several times."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = stage(map_texts(_with_order(rows), _sign, "doc_id long, ord long, node binary, sig binary, plain binary"))
+    signed = stage(map_texts(rows, _sign, "doc_id long, ord long, words long, node binary, sig binary, plain binary"))
     linkable = signed.where("node is not null")
-    nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.first("plain").alias("plain"), F.min("ord").alias("at")))
+    nodes = stage(linkable.groupBy("node").agg(F.first("sig").alias("sig"), F.first("plain").alias("plain"), F.first("words").alias("words"), F.min("ord").alias("at")))
 
     # candidates: bands, sorted by key, each node with the first of its bucket
     banded = nodes.select("node", F.explode(band_keys()).alias("key"))
@@ -353,7 +356,10 @@ def classes(rows: DataFrame) -> DataFrame:
     root = components(links)
     # the other candidates only where they would join two components
     more = _crossing(near.select("a", "b").join(best, ["a", "b"], "left_anti"), root)
-    links = stage(links.union(_verified(more, texts)))
+    rest = _verified(more, texts)
+    release(near, texts, more, root)
+    first_links, links = links, stage(links.union(rest))
+    release(first_links, rest)
     root = components(links)
 
     # buckets whose nodes apart from the first lie in different components
@@ -363,9 +369,11 @@ def classes(rows: DataFrame) -> DataFrame:
     mixed = rooted.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = stage(mixed.select("key", "n"))
     left = rooted.join(mixed, "key").select("key", "n", F.col("b").alias("node"), F.col("rb").alias("root"))
+    left = stage(left.join(nodes.select("node", "words"), "node"))
     # blocks by a hash of the node, so that no order or single task is needed; a pair of blocks is one group
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    size = left.groupBy("key").agg(F.sum("words").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
+    whole, left = left, left.join(size, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = stage(left)
     texts = _texts_of(left.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes, rows)
     spread = left.join(texts, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -375,8 +383,11 @@ def classes(rows: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     extra = stage(grouped.groupBy("key", "x", "y").applyInPandas(_blocks, "a binary, b binary"))
+    release(stars, mixed, whole, left, texts, nodes)
     if not extra.isEmpty():
-        root = components(links.union(extra.distinct()))
+        old, root = root, components(links.union(extra.distinct()))
+        release(old)
+    release(links, extra)
 
     # classes of rows
     own = signed.select("doc_id", "ord", F.coalesce("node", F.concat(F.lit("-").cast("binary"), F.col("ord").cast("string").cast("binary"))).alias("node"))
@@ -384,6 +395,7 @@ def classes(rows: DataFrame) -> DataFrame:
     labelled = stage(labelled)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "ord", "doc_id"))
     top = stage(labelled.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size")))
+    release(signed, root)
     return labelled.join(top, "root").select(
         "doc_id", "ord", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("ord") == F.col("first.ord")).alias("kept")
     )
@@ -404,11 +416,11 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of every node in pairs: of the row that stands for it."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = wanted.join(nodes.select("node", "at"), "node")
-    return stage(_with_order(rows).join(chosen, F.col("ord") == F.col("at")).select("node", "text"))
+    return stage(rows.join(chosen, F.col("ord") == F.col("at")).select("node", "text"))
 
 
-def _with_order(rows: DataFrame) -> DataFrame:
-    """Row numbers, the same in every scan: rows must be a table, whose splits and their order do not change."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A number for each row, of this one evaluation: to be written and read from there."""
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
@@ -426,11 +438,10 @@ def _crossing(pairs: DataFrame, root: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each class, with the columns of docs."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keep = classes(rows.select("doc_id", "text")).where("kept").select("ord")
-
-    numbered = _with_order(rows.select("doc"))
-    return numbered.join(keep, "ord", "left_semi").select("doc.*")
+    whole = stage(_numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))))
+    rows = whole.select("ord", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).alias("text"))
+    keep = classes(rows).where("kept").select("ord")
+    return whole.join(keep, "ord", "left_semi").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
