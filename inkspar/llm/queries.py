@@ -13,5 +13,6 @@ QUERIES = {
     "op8_prob_minhash": prob_minhash.query,
     "op9_prefix_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
+    "packing_of_conversations": vector_packing.query_conversations,
 }
 ORACLE_SQL = {"op3_content_sort": content_sort.ORACLE}

@@ -4,11 +4,15 @@ An example has a demand vector (tokens, segments, loss-bearing tokens) and a seq
 filled by the dot-product heuristic: of the pool, the example whose demand has the largest dot product with
 what is left of the limits (both as shares of the limits) goes in next, if it fits.  When nothing fits whole, the best
 example is cut, where cutting is allowed, and its rest returns to the pool; so only the last sequence of a task has room
-left over.  The pool is bounded, rows flow through it, and nothing is shuffled: each task packs the rows of its own
+left over, but for what a limit on segments or loss leaves.  Segments and loss-bearing tokens of an example that is cut divide with its
+tokens, rounded up; a segment that is cut counts on both sides.  `query` packs documents: one segment each, every token bears loss, and
+a sequence may hold any number of them.  `query_conversations` packs instruction data: a turn is a segment, and what the assistant says bears
+loss.  The pool is bounded, rows flow through it, and nothing is shuffled: each task packs the rows of its own
 input split.
 
 Defined results: null text is the empty text, which still has its end token; an example without tokens gives no piece;
-an example longer than a sequence is cut; repeated rows are packed like any others; an empty table gives no rows.
+an example longer than a sequence, or with more segments, is cut; repeated rows are packed like any others; an empty table gives no
+rows; turns with a null text have their end token, turns with a null role bear no loss, a null conv_id is a conversation like any other.
 """
 
 from __future__ import annotations
@@ -29,7 +33,11 @@ from .bpe import by_chars, byte_letters
 from .common import free_memory, map_texts, table, vocabulary
 
 SEQUENCE = 4096
-SEGMENTS = 512
+#: Documents in a sequence: each has a token, so this is no limit.
+DOCUMENTS = (SEQUENCE, SEQUENCE, SEQUENCE)
+#: Tokens, turns and loss-bearing tokens of a sequence of conversations.
+CONVERSATIONS = (SEQUENCE, 32, 3072)
+LEARNED_ROLE = "assistant"
 #: Examples that wait in a task at one time.
 POOL = 2048
 #: Words whose ids a task remembers.
@@ -135,7 +143,7 @@ class Packer:
         self.out: list[tuple] = []
 
     def put(self, slot: int, tokens: int, segments: int, loss: int) -> None:
-        self.out.append((self.keys[slot], self.start[slot], tokens, self.bins, self.offset))
+        self.out.append((self.keys[slot], self.start[slot], tokens, self.bins, self.offset, segments, loss))
         self.room -= (tokens, segments, loss)
         self.offset += tokens
         if self.room[0] < 1 or self.room[1] < 1:
@@ -147,13 +155,14 @@ class Packer:
         self.room, self.offset = self.limits.copy(), 0
 
     def add(self, key, tokens: int, segments: int, loss: int) -> None:
-        """segments and loss are those of the whole example; both divide with its tokens when it is cut."""
+        """segments and loss are those of the whole example, at most one for each token; both divide with its tokens when it is cut."""
         if tokens <= 0:
             return
+        segments, loss = min(segments, tokens), min(loss, tokens)
         if not self.cut and (tokens > self.limits[0] or segments > self.limits[1] or loss > self.limits[2]):
             raise ValueError("an example is larger than a sequence and may not be cut")
-        if segments > self.limits[1] or (loss and self.limits[2] < 1):
-            raise ValueError("an example has more segments than a sequence may hold, or loss where none may be")
+        if loss and self.limits[2] < 1:
+            raise ValueError("an example bears loss where none may be")
         if not self.free:
             self.fill()
         slot = self.free.pop()
@@ -183,13 +192,18 @@ class Packer:
         take = int(min(self.room[0], t))
         if loss > 0:
             take = min(take, int(self.room[2] * t // loss))
-        if not self.cut or take < 1 or s > self.room[1]:
+        if s > 0:
+            take = min(take, int(self.room[1] * t // s))
+        if not self.cut or take < 1:
             self.close()
             return
-        part = int(np.ceil(loss * take / t)) if t else 0
-        self.put(slot, take, int(s), min(part, int(loss)))
+        part, turns = min(int(np.ceil(loss * take / t)), int(loss)), min(int(np.ceil(s * take / t)), int(s))
+        self.put(slot, take, turns, part)
         self.start[slot] += take
-        self.demand[slot] = (t - take, s, max(0, loss - part))
+        rest = t - take
+        self.demand[slot] = (rest, max(s - turns, min(s, 1)) if rest else 0, loss - part)
+        if not rest:
+            self.free.append(slot)
 
     def finish(self) -> None:
         while len(self.free) < self.pool:
@@ -201,8 +215,8 @@ class Packer:
         return out
 
 
-def pack(examples: Iterator[tuple], limits=(SEQUENCE, SEGMENTS, SEQUENCE), pool: int = POOL, cut: bool = True) -> list[tuple]:
-    """(key, tokens, segments, loss) -> (key, start, length, sequence, offset), for lists that fit in memory."""
+def pack(examples: Iterator[tuple], limits=DOCUMENTS, pool: int = POOL, cut: bool = True) -> list[tuple]:
+    """(key, tokens, segments, loss) -> (key, start, length, sequence, offset, segments, loss), for lists that fit in memory."""
     packer = Packer(limits, pool, cut)
     for e in examples:
         packer.add(*e)
@@ -226,7 +240,7 @@ def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
 
         def rows() -> pa.RecordBatch:
             out = []
-            for key, start, length, seq, offset in packer.drain():
+            for key, start, length, seq, offset, _, _ in packer.drain():
                 doc = live[key]
                 ids = doc[1][start : start + length]
                 doc[2] -= length
@@ -254,20 +268,19 @@ def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits=(SEQUENCE, SEGMENTS, SEQUENCE), with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits=DOCUMENTS, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents and their places in sequences; with_ids adds the ids of each piece."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = ", ".join(f"{n} long" for n in PIECE.names) + (", ids array<int>" if with_ids else "")
     return map_texts(rows, _pack_texts(path, end_id, limits, with_ids), schema)
 
 
-def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool = True) -> DataFrame:
-    """Instruction data with counted demands: rows (id, tokens, segments, loss) -> (id, start, length, sequence_id, offset).
+def pack_demands(examples: DataFrame, limits: tuple[int, int, int], cut: bool = True) -> DataFrame:
+    """Counted examples (id, tokens, segments, loss) -> (id, start, length, segments, loss, sequence_id, offset).
 
     Nulls count as 0; rows with no tokens give nothing.
     """
-
-    names = ["id", "start", "length", "sequence_id", "offset"]
+    names = ["id", "start", "length", "segments", "loss", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -275,7 +288,7 @@ def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool
         packer, base = Packer(limits, cut=cut), TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
-            cols = list(zip(*((k, s, n, base + q, o) for k, s, n, q, o in packer.drain()), strict=True)) or [()] * 5
+            cols = list(zip(*((k, at, n, s, loss, base + q, o) for k, at, n, q, o, s, loss in packer.drain()), strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         for batch in batches:
@@ -286,9 +299,31 @@ def pack_conversations(turns: DataFrame, limits: tuple[int, int, int], cut: bool
         yield rows()
 
     zero = F.lit(0)
-    rows = turns.select(F.col("id").cast("long"), *[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in ("tokens", "segments", "loss")])
-    return rows.mapInArrow(run, "id long, start long, length long, sequence_id long, offset long")
+    rows = examples.select(F.col("id").cast("long"), *[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in ("tokens", "segments", "loss")])
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def conversation_demands(turns: DataFrame, path: str, learned: str = LEARNED_ROLE) -> DataFrame:
+    """(id, tokens, segments, loss) of each conversation of (conv_id, role, text): turns are counted where they lie, and only counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds(path)
+        for batch in batches:
+            for at, to in by_chars(batch.column("text").cast(pa.large_string()), 4_000_000):
+                part = batch.slice(at, to - at)
+                sizes = [len(ids) + 1 for ids in words.encode(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("learned"), pa.array(sizes, pa.int64())], ["conv_id", "learned", "n"])
+            free_memory()
+
+    rows = turns.select(F.col("conv_id").cast("long"), F.coalesce(F.col("role") == learned, F.lit(False)).alias("learned"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    counted = map_texts(rows, run, "conv_id long, learned boolean, n long")
+    return counted.groupBy(F.col("conv_id").alias("id")).agg(F.sum("n").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("learned"), F.col("n")).otherwise(0)).alias("loss"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def query_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all conversations: conv_id, start, length, segments, loss, sequence_id, offset."""
+    return pack_demands(conversation_demands(table(spark, sf_dir, "conversations"), vocabulary("word_bpe_49k.json")), CONVERSATIONS).withColumnRenamed("id", "conv_id")

@@ -54,7 +54,7 @@ def check_pieces(rows, texts, tokenizer):
         for p in sorted(ps, key=lambda p: p["offset"]):
             assert p["offset"] == at
             at += p["length"]
-        assert at <= 4096 and len(ps) <= vector_packing.SEGMENTS
+        assert at <= 4096
     return len(by_seq), sum(map(len, ids.values()))
 
 
@@ -71,18 +71,45 @@ def test_packing_keeps_all_limits():
     rng = random.Random(3)
     items = [(k, rng.randint(1, 300), rng.randint(1, 4), 0) for k in range(400)]
     items = [(k, t, s, rng.randint(0, t)) for k, t, s, _ in items]
+    huge = [(400, 9000, 900, 5000), (401, 2000, 1, 2000), (402, 3, 50, 0)]
     for cut in (True, False):
-        out = vector_packing.pack(iter(items), limits=(512, 8, 300), pool=64, cut=cut) if cut else vector_packing.pack(((k, t, s, min(x, 300)) for k, t, s, x in items), limits=(512, 8, 300), pool=64, cut=False)
-        placed, load, segments = defaultdict(int), defaultdict(int), defaultdict(int)
-        for k, start, n, seq, offset in out:
-            assert offset == load[seq]
-            placed[k] += n
-            load[seq] += n
-            segments[seq] += items[k][2]
-        assert {k: t for k, t, _, _ in items} == dict(placed)
-        assert max(load.values()) <= 512 and max(segments.values()) <= 8
+        given = [*items, *huge] if cut else [(k, t, s, min(x, 300)) for k, t, s, x in items]
+        out = vector_packing.pack(iter(given), limits=(512, 8, 300), pool=64, cut=cut)
+        placed, load = defaultdict(lambda: np.zeros(3, int)), defaultdict(lambda: np.zeros(3, int))
+        for k, start, n, seq, offset, segments, loss in out:
+            assert offset == load[seq][0] and start == placed[k][0]
+            placed[k] += (n, segments, loss)
+            load[seq] += (n, segments, loss)
+        assert all((placed[k][0], placed[k][2]) == (t, x) and placed[k][1] >= min(s, t) for k, t, s, x in given)
+        assert (np.array(list(load.values())) <= (512, 8, 300)).all()
         if not cut:
-            assert len(out) == len(items)
+            assert len(out) == len(items) and all(placed[k][1] == min(s, t) for k, t, s, _ in given)
+
+
+def test_packing_of_short_documents_fills_sequences(spark, word_tokenizer):
+    texts = {k: "a b" for k in range(5000)}
+    rows = vector_packing.pack_documents(frame(spark, list(texts.values())).coalesce(1), vocabulary("word_bpe_49k.json")).collect()
+    n, tokens = check_pieces(rows, texts, word_tokenizer)
+    assert n == -(-tokens // 4096)
+
+
+def test_packing_of_conversations(spark, tmp_path, word_tokenizer):
+    rng, turns = random.Random(4), []
+    for c in range(60):
+        turns += [(c, k, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "some words here. " * rng.randrange(60)])) for k in range(rng.randrange(1, 9))]
+    turns += [(99, k, "assistant", "again and again " * 30) for k in range(700)] + [(None, 0, "user", "no id")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = defaultdict(lambda: np.zeros(3, int))
+    for c, _, role, text in turns:
+        n = len(word_tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        want[c] += (n, 1, n if role == "assistant" else 0)
+    got, load = defaultdict(lambda: np.zeros(3, int)), defaultdict(lambda: np.zeros(3, int))
+    for r in vector_packing.query_conversations(spark, str(tmp_path)).orderBy("sequence_id", "offset").collect():
+        assert r["offset"] == load[r["sequence_id"]][0]
+        got[r["conv_id"]] += (r["length"], r["segments"], r["loss"])
+        load[r["sequence_id"]] += (r["length"], r["segments"], r["loss"])
+    assert got.keys() == want.keys() and all(got[c][0] == w[0] and got[c][2] == w[2] and got[c][1] >= w[1] for c, w in want.items())
+    assert (np.array(list(load.values())) <= vector_packing.CONVERSATIONS).all()
 
 
 def test_content_sort_against_brute_force(spark):
