@@ -3,7 +3,7 @@
 Two gated recurrent layers read the bytes of a window, one from each end; at every position a linear layer over both
 states gives a probability for each language, and the document's probability is the mean over all its positions.  Gates
 are clipped linear functions, so that a step is a few vector operations.  Training is backpropagation through time in
-numpy over a bounded sample of labelled rows; prediction covers every byte of every text, in windows that start
+numpy over a bounded sample of labelled rows, all languages that occur; prediction covers every byte of every text, in windows that start
 from the zero state.
 
 Defined results: a text that is null or has no letter is `und` with score 0; an empty table gives no rows; languages are those
@@ -33,8 +33,6 @@ from .common import free_memory, map_texts, table
 HIDDEN = 12
 #: Bounds of the training sample: rows of each language, characters of each row (from a place that its hash picks).
 ROWS_PER_LANGUAGE, CHARS = 400, 1500
-#: Languages learned, the most frequent first if there are more.
-LANGUAGES = 400
 STEPS, BATCH, TRAIN_WINDOW, RATE = 400, 192, 64, 0.02
 WINDOW, LANES = 128, 1024
 #: Letters below which a text is not judged as junk, and the share of labelled rows that may score below the fitted bound.
@@ -222,19 +220,21 @@ class Scorer:
         return sums / sizes[:, None]
 
 
-def fit(docs: DataFrame, where=None, languages: int = LANGUAGES) -> Network | None:
+def fit(docs: DataFrame, where=None, languages: int | None = None) -> Network | None:
     """Learn from text and non-null lang of docs."""
     samples, names = sample(docs, where, languages)
     return train(samples, names) if names else None
 
 
-def sample(docs: DataFrame, where=None, languages: int = LANGUAGES) -> tuple[list[tuple[bytes, int]], list[str]]:
+def sample(docs: DataFrame, where=None, languages: int | None = None) -> tuple[list[tuple[bytes, int]], list[str]]:
     """Texts with the numbers of their languages, and the languages.  The sample is bounded (see the constants above) and picked by hash."""
     rows = docs.where("lang is not null and text <> ''")
     if where is not None:
         rows = rows.where(where)
     rows = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("language sample")).alias("draw"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("draws")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("draws"))
+    if languages is not None:  # the most frequent ones only
+        sizes = sizes.orderBy(F.desc("n"), "lang").limit(languages)
     known = {r["lang"]: r["draws"] for r in sizes.collect()}
     if not known:
         return [], []
@@ -270,7 +270,7 @@ def letter_junk(text: bytes, kind: int, rng: np.random.Generator) -> bytes:
     return "".join(next(drawn) if c.isalpha() else c for c in plain).encode()
 
 
-def fit_gate(docs: DataFrame, where=None, languages: int = LANGUAGES, seed: int = 11) -> tuple[Network | None, float]:
+def fit_gate(docs: DataFrame, where=None, languages: int | None = None, seed: int = 11) -> tuple[Network | None, float]:
     """A network whose last class is letter junk, and the least score of a text that is none."""
     samples, names = sample(docs, where, languages)
     if not names:

@@ -6,7 +6,7 @@ penalty keeps few of the rules; and these are compiled back into one Spark colum
 therefore one projection over the scan, without Python and without a shuffle.
 
 Defined results: null text counts as empty and gets the score of the empty text; rows without a label are scored but
-not learned from; of several labels of a document the largest counts; without labels, or with labels of one kind only,
+not learned from; of several labels of a document the largest counts, and of several rows with one id the first by its statistics; without labels, or with labels of one kind only,
 every score is the smoothed share of label 1 (0.5 for none); an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,7 +23,6 @@ from .common import table
 #: Bound of the labelled sample, picked by a hash of the id.
 SAMPLE = 8000
 TREES, DEPTH, BINS, SHRINK = 40, 3, 24, 0.3
-MAX_RULES = 400
 PENALTIES = (0.03, 0.01, 0.003, 0.001)
 
 
@@ -170,9 +169,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 3) -> Ensemb
         weight = some.astype(float)
         rules, out = _tree(x, binned, cuts, (p - y) * weight, p * (1 - p) * weight, names)
         f += SHRINK * out
-        for r in rules:
-            if len(found) < MAX_RULES:
-                found.setdefault(r)
+        for r in rules:  # at most two for each split, so their number has a bound
+            found.setdefault(r)
     rules = list(found)
     if not rules:
         return Ensemble(float(np.log(y.mean() / (1 - y.mean()))), [])
@@ -200,8 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     stats = statistics(F.col("text"))
     names = list(stats)
-    # of repeated rows of one document one is enough
-    rows = text.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id").limit(4 * sample).collect()
+    # of repeated rows of one document one counts, so there are no more rows than ids in the sample
+    one = text.select("doc_id", F.struct("y", *[c.alias(n) for n, c in stats.items()]).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
+    rows = one.orderBy("doc_id").select("row.*").collect()
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(-1, len(names))
     return fit(x, np.array([r["y"] for r in rows]), names)
 
