@@ -290,18 +290,19 @@ def test_license_scan(spark):
 
 def test_secret_scan(spark):
     train = secret_scan.labelled_findings(spark, 700, seed=1)
-    forest = secret_scan.train(train)
+    words = secret_scan.dictionary(vocabulary("word_bpe_49k.json"))
+    forest = secret_scan.train(train, words)
     test = secret_scan.labelled_findings(spark, 300, seed=2)
-    f = secret_scan.features(test["value"], test["before"], test["path"])
+    f = secret_scan.features(test["value"], test["before"], test["path"], test["after"], words)
     rows = test.select("label", *[c.alias(n) for n, c in f.items()]).collect()
     score = [np.mean([t.predict(r.asDict()) for t in forest.trees]) for r in rows]
     assert np.mean([(s >= 0.5) == (r["label"] == 1) for s, r in zip(score, rows)]) > 0.93
     key = "9fK2mQx81LzP0aVt7RbY3cWn"
     df = frame(spark, [*ODD, f'secret = "{key}" and token = "{key}"', "commit: " + "0123456789abcdef" * 2 + "01234567", "card 4952935900253052"])
-    found = secret_scan.scan(df, forest).orderBy("start").collect()
+    found = secret_scan.scan(df, forest, words).orderBy("start").collect()
     assert [(r["doc_id"] - len(ODD), r["value"]) for r in found] == [(0, key)] * 2
     assert [f'secret = "{key}" and token = "{key}"'[r["start"] : r["end"]] for r in found] == [key, key]
-    plan = secret_scan.scan(df, forest)._jdf.queryExecution().executedPlan().toString()
+    plan = secret_scan.scan(df, forest, words)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 

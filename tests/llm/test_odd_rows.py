@@ -72,8 +72,15 @@ def test_license_scan(odd):
 
 
 def test_secret_scan(spark, odd):
-    forest = secret_scan.train(secret_scan.labelled_findings(spark, 200, seed=1))
-    assert secret_scan.scan(odd, forest).where("doc_id <> 11 or doc_id is null").count() == 0
+    words = secret_scan.dictionary(vocabulary("word_bpe_49k.json"))
+    forest = secret_scan.train(secret_scan.labelled_findings(spark, 200, seed=1), words)
+    assert secret_scan.scan(odd, forest, words).count() == 0
+    # a run whose first digit comes late, and a text with many candidates
+    key = "token = \"9fK2mQx81LzP0aVt7RbY3cWn\" "
+    df = spark.createDataFrame([(1, "a" * 500 + "1" + "b" * 20, None), (2, key * 3000, None)], "doc_id long, text string, source string")
+    assert [(r["start"], r["end"]) for r in secret_scan.candidates(df).where("doc_id = 1").collect()] == [(0, 521)]
+    found = secret_scan.candidates(df).where("doc_id = 2").orderBy("start").collect()
+    assert [(r["start"], r["end"]) for r in found] == [(k * len(key) + 9, k * len(key) + 33) for k in range(3000)] and {r["after"][:1] for r in found} == {'"'}
 
 
 def test_language(spark, odd):
