@@ -12,7 +12,7 @@ columns are ignored.
 
 `fit_gate` learns one class more, letter junk made from the sample, and fits the least score on rows that training did not
 see; `keep_known` then drops what scores below it.  Texts of fewer than SHORT letters are too short to judge and stay, and
-without a model every text with a letter stays.
+with fewer than LEAST_ROWS labelled rows to learn from every text with a letter stays.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ STEPS, BATCH, TRAIN_WINDOW, RATE = 400, 192, 64, 0.02
 WINDOW, LANES = 128, 1024
 #: Letters below which a text is not judged as junk, and the share of labelled rows that may score below the fitted bound.
 SHORT, LOST = 24, 0.001
+#: Labelled rows below which no bound can be fitted and nothing is judged.
+LEAST_ROWS = 40
 UNDETERMINED = "und"
 PAD = 256
 
@@ -273,7 +275,7 @@ def letter_junk(text: bytes, kind: int, rng: np.random.Generator) -> bytes:
 def fit_gate(docs: DataFrame, where=None, languages: int | None = None, seed: int = 11) -> tuple[Network | None, float]:
     """A network whose last class is letter junk, and the least score of a text that is none."""
     samples, names = sample(docs, where, languages)
-    if not names:
+    if len(samples) < LEAST_ROWS:
         return None, 0.0
     rng = np.random.default_rng(seed)
     mixed = [samples[k] for k in rng.permutation(len(samples))]

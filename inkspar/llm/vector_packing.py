@@ -239,17 +239,22 @@ def _pack_texts(path: str, end_id: int, limits, with_ids: bool):
         schema = PIECE.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECE
 
         def rows() -> pa.RecordBatch:
-            out = []
+            out, parts = [], []
             for key, start, length, seq, offset, _, _ in packer.drain():
                 doc = live[key]
                 ids = doc[1][start : start + length]
                 doc[2] -= length
                 piece = [doc[0], start, length, crc32(ids.astype("<u4").tobytes()), len(doc[1]), base + seq, offset]
-                out.append([*piece, ids.astype(np.int32)] if with_ids else piece)
+                out.append(piece)
+                if with_ids:
+                    parts.append(ids)
                 if not doc[2]:
                     del live[key]
-            cols = list(zip(*out, strict=True)) or [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            cols = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * len(PIECE)]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(ends, np.concatenate([*parts, np.empty(0, np.uint32)]).astype(np.int32)))
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
             for at, to in by_chars(batch.column("text").cast(pa.large_string()), 4_000_000):
