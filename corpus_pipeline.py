@@ -1,11 +1,24 @@
-"""Preparation of a training corpus: language, exact copies, near copies, personal data, packing."""
+"""Preparation of a training corpus: language, exact copies, near copies, personal data, packing.
+
+Every stage works on all rows that the one before it kept, and all but the last return the columns of documents, whatever others there are
+and whatever they are called.  Defined results:
+
+- an empty table, and a table that a stage leaves empty, gives no rows;
+- a null, empty or letterless text goes in the first stage, as it has no language; a null lang, source, n_chars or doc_id is no reason to drop a
+  row, and null ids sort last where the smallest id stays;
+- of rows with the same text, or of one group of near copies, one row stays: the one with the smallest doc_id, and of rows that also have
+  that in common any one;
+- n_chars follows the text where personal data were replaced;
+- the result has a row for each piece of a document in a sequence, with the ids of its tokens, so it is the packed corpus itself; ids of documents
+  whose texts are too long for a sequence occur in several rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkspar.llm import content_sort, language_id, pii, prob_minhash, vector_packing
-from inkspar.llm.common import stage, table, vocabulary
+from inkspar.llm.common import release, stage, table, vocabulary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +35,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates under the session's key (see inkspar.llm.pii)."""
     return pii.replace_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return vector_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return vector_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
@@ -39,11 +53,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
 
 
