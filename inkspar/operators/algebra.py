@@ -112,7 +112,3 @@ def multi_index(dfs: list[DataFrame], subj: str = "multi", mode: str = "merge")
     if not dfs:
         raise ValueError("no index is left")
     return resubject(dfs[0], subj) if len(dfs) == 1 else union(*dfs, subj=subj, mode=mode)
-
-
-def merge_identical(postings: DataFrame, keys: list[str]) -> DataFrame:
-    return postings.dropDuplicates(keys)

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
-from ..schema import PAGE
-from ..staging import spread
+from ..schema import PAGE, TARGET
+from ..staging import spread, stage
 
 NO_EDITION = -(1 << 63)
 
 
-def page_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return tokenize(docs, key, text)
-
-
 def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", site: Column | None = None, edition: Column | None = None, title: Column | None = None) -> DataFrame:
     """One PAGE posting for each term of each document, rel = term frequency / number of words.
 
@@ -86,9 +81,11 @@ def doc_frequency(postings: DataFrame) -> DataFrame:
 
 def tfidf(postings: DataFrame, total_pages: Column | int) -> DataFrame:
     """rel := tf / words x ln(pages / df).  The frequencies come from a map-side combined count joined back, not from a
-    window over a term, which would put all postings of a frequent term into one task."""
+    window over a term, which would put all postings of a frequent term into one task; they are written first, so that both
+    sides of the join are plain exchanges (or one is small and broadcast) and adaptive execution can cut a frequent term.
+    postings are read twice: a stored table, not the tokenizer."""
     total = F.lit(total_pages) if isinstance(total_pages, int) else total_pages
-    joined = postings.join(doc_frequency(postings), "term")
+    joined = postings.join(stage(doc_frequency(postings)), "term")
     factor = F.when((total > 0) & (F.col("df") > 0), F.log(total / F.col("df"))).otherwise(1.0)
     rel = F.when((F.col("tf") > 0) & (F.col("word_count") > 0), F.col("tf") / F.col("word_count") * factor).otherwise(0.0)
     return joined.withColumn("rel", rel)
@@ -101,13 +98,19 @@ def idf_factor(total_pages: Column, df: Column) -> Column:
 
 
 def idf_rescale(postings: DataFrame, total_pages: int) -> DataFrame:
-    """Rescale PAGE rows at query time; other entries keep their relevance."""
-    df = doc_frequency(postings)
+    """Rescale PAGE rows at query time; other entries keep their relevance.  postings are read twice, as in tfidf."""
+    df = stage(doc_frequency(postings))
     joined = postings.join(df, "term")
     scaled = F.when(F.col("entry_type") == PAGE, F.col("rel") * idf_factor(F.lit(total_pages), F.col("df"))).otherwise(F.col("rel"))
     return joined.withColumn("rel", scaled).drop("df")
 
 
+def group_by_term(postings: DataFrame) -> DataFrame:
+    """(term, entries, first, last): each term's distinct entries as their number and ends; the entries themselves stay rows, sorted by the index."""
+    one = postings.select("term", *TARGET).distinct()
+    return one.groupBy("term").agg(F.count("*").alias("entries"), F.min("target").alias("first"), F.max("target").alias("last"))
+
+
 def forward_index(postings: DataFrame) -> DataFrame:
     """(uri, terms): the terms of each page, sorted."""
     return postings.groupBy(F.col("target").alias("uri")).agg(F.array_sort(F.collect_set("term")).alias("terms"))

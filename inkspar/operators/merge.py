@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import IDENTITY
@@ -24,6 +24,16 @@ def upsert(old: DataFrame, new: DataFrame, latest_wins: bool = False) -> DataFra
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in both.columns if c != "_new"])
 
 
+def update_with(old: DataFrame, new: DataFrame, handlers: dict[str, Column], key: str = "term") -> DataFrame:
+    """Merge, and what the handlers make of each key that new has: aggregates over the merged rows, where the column `fresh` marks new ones.
+
+    Handlers are aggregate expressions, so they combine before they shuffle and a key with very many rows is no task of its own.
+    """
+    merged = upsert(old, new).withColumn("fresh", F.lit(False)).unionByName(new.select(*new.columns, F.lit(True).alias("fresh")), allowMissingColumns=True)
+    groups = merged.groupBy(key).agg(F.max("fresh").alias("_touched"), *[c.alias(n) for n, c in handlers.items()])
+    return groups.where("_touched").drop("_touched")
+
+
 def delete(old: DataFrame, gone: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["term", "entry_type", "target"]
     return old.join(gone.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
@@ -42,10 +52,17 @@ def merge_metadata(old: dict, new: dict, additive: bool = True) -> dict:
     """Names of the new batch replace the old ones; the number of pages adds up, an unknown old number counts as 0."""
     out = old | {k: v for k, v in new.items() if v is not None}
     if additive:
-        out["total_pages"] = (new.get("total_pages") or 0) + max(0, old.get("total_pages") or 0)
+        counts = [n for n in (old.get("total_pages"), new.get("total_pages")) if n is not None and n >= 0]
+        out["total_pages"] = sum(counts) if counts else -1
     return out
 
 
+def metadata_of(batches: DataFrame) -> DataFrame:
+    """merge_metadata over a table (batch, name, owner, owner_email, total_pages): the newest name, owner and address, and the sum of the known pages."""
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in ("name", "owner", "owner_email")]
+    return batches.agg(*latest, F.coalesce(F.sum(F.when(F.col("total_pages") >= 0, F.col("total_pages"))), F.lit(-1)).alias("total_pages"))
+
+
 def distinct_pages(postings: DataFrame) -> DataFrame:
     return postings.agg(F.countDistinct("target").alias("total_pages"))
 

@@ -7,17 +7,36 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..staging import stage
 
-def key_range(df: DataFrame, key: str, lo=None, hi=None) -> DataFrame:
-    """Keys strictly between lo and hi; None is no bound."""
+
+def key_range(df: DataFrame, key: str, lo=None, hi=None, with_lo: bool = False, with_hi: bool = False) -> DataFrame:
+    """Keys between lo and hi, strictly unless with_lo or with_hi; None is no bound."""
+    c = F.col(key)
     if lo is not None:
-        df = df.where(F.col(key) > lo)
+        df = df.where(c >= lo if with_lo else c > lo)
     if hi is not None:
-        df = df.where(F.col(key) < hi)
+        df = df.where(c <= hi if with_hi else c < hi)
     return df
 
 
+def head(df: DataFrame, key: str, to) -> DataFrame:
+    """Keys below to."""
+    return key_range(df, key, hi=to)
+
+
+def tail(df: DataFrame, key: str, at) -> DataFrame:
+    """Keys from at on, with it."""
+    return key_range(df, key, lo=at, with_lo=True)
+
+
+def sub(df: DataFrame, key: str, at, to) -> DataFrame:
+    """Keys from at, with it, to before to."""
+    return key_range(df, key, at, to, with_lo=True)
+
+
 def prefix(df: DataFrame, key: str, start: str) -> DataFrame:
     return df.where(F.col(key).startswith(start))
 
@@ -127,10 +146,15 @@ def split_ranges(df: DataFrame, key: str, separators: list) -> tuple[DataFrame,
 
 
 def adjacent_pairs(df: DataFrame, key: str) -> DataFrame:
-    """(left, right) of neighbours in key order, by joining ranks."""
-    ranks = with_rank(df.select(key), key)
-    right = ranks.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("right"))
-    return ranks.withColumnRenamed(key, "left").join(right, "rank").select("left", "right")
+    """(left, right) of neighbours in key order: a look back inside each range, and one row a range for the pairs across borders."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(key).repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
+    inside = ranged.select(F.lag(key).over(Window.partitionBy("_p").orderBy(key)).alias("left"), F.col(key).alias("right")).where("left is not null")
+    ends = ranged.groupBy("_p").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    # as many rows as ranges
+    across = ends.select(F.lag("last").over(Window.orderBy("_p")).alias("left"), F.col("first").alias("right")).where("left is not null")
+    return inside.union(across)
 
 
 class BestFit:
@@ -166,21 +190,89 @@ class BestFit:
         return [(k, w, n) for n, b in enumerate(b for b in bins if b) for k, w in b]
 
 
-def bin_pack(df: DataFrame, key: str, weight: str, capacity: int, no_tiny: bool = True) -> DataFrame:
-    """(key, weight, bin): each task packs its own rows, so bins number from the task on; one bin in a task may be small."""
+#: Weight, in capacities, that one task packs.
+BINS_PER_TASK = 20_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 40
-        items: list[tuple] = []
-        kinds = None
-        for batch in batches:
-            kinds = batch.schema
-            items += list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        if items:
-            rows = BestFit(capacity, no_tiny).pack(items)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0].type), pa.array([r[1] for r in rows], pa.int64()), pa.array([base + r[2] for r in rows], pa.int64())], [key, weight, "bin"])
+def bin_pack(df: DataFrame, key: str, weight: str | Column, capacity: int, no_tiny: bool = True, oversize: str = "error", bins: DataFrame | None = None, even: bool = False) -> DataFrame:
+    """(key, piece, weight, bin): bins of that capacity over the whole table; all are at least half full but at most one, which no_tiny merges into another.
+
+    weight is a column or an expression.  Rows are dealt by a hash of their key to as many tasks as the total weight asks for, and sorted by
+    weight there, heaviest first, so a task holds no more than the room of its open bins, and the result depends on the rows alone,
+    not on how they lie.  What is less than half full after that, at most one bin a task, is packed again together.  A row that
+    weighs more than a bin is an error, or with oversize="split" pieces of the capacity and a rest.
 
+    bins: (key, weight, bin) of an earlier call, whose rows stay where they are; new rows fill their room first.  even: new bins share the
+    weight of their task alike (the emptiest takes the next row) instead of being filled one after the other.
+    """
+    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(weight).cast("long").alias(weight)).mapInArrow(run, f"{key} {kind}, {weight} long, bin long")
+    heavy = F.col(weight) if isinstance(weight, str) else weight
+    rows = df.select(F.col(key).alias("key"), heavy.cast("long").alias("weight"))
+    if oversize == "split":
+        pieces = F.greatest(F.lit(1), F.ceil(F.col("weight") / capacity)).cast("int")
+        rows = rows.select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "weight").select("key", "piece", F.least(F.lit(capacity), F.col("weight") - F.col("piece").cast("long") * capacity).alias("weight"))
+    elif oversize == "error":
+        rows = rows.select("key", F.lit(0).alias("piece"), "weight")
+    else:
+        raise ValueError(f"no such way with large rows: {oversize}")
+    size = rows.agg(F.sum("weight").alias("total"), F.max("weight").alias("most")).first()
+    if (size["most"] or 0) > capacity:
+        raise ValueError("a row weighs more than a bin holds")
+    tasks = max(1, -(-(size["total"] or 0) // (capacity * BINS_PER_TASK)))
+    loads = rows.select("key", "piece", "weight", F.lit(None).cast("long").alias("bin"), F.pmod(F.xxhash64("key", "piece"), F.lit(tasks)).cast("int").alias("task"))
+    if bins is not None:
+        old = bins.groupBy("bin").agg(F.sum("weight").alias("weight"))
+        loads = loads.unionByName(old.select(F.lit(None).cast(kind).alias("key"), F.lit(-1).alias("piece"), "weight", "bin", F.pmod(F.xxhash64("bin"), F.lit(tasks)).cast("int").alias("task")))
+    totals = {r["task"]: r["total"] for r in loads.where("bin is null").groupBy("task").agg(F.sum("weight").alias("total")).collect()} if even else {}
+    above = (bins.agg(F.max("bin")).first()[0] if bins is not None else None) or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left, insort
+
+        rooms: list[tuple[int, int]] = []
+        task, made = None, 0
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("weight", "bin", "task")]
+            placed = []
+            for w, b, t in zip(*cols, strict=True):
+                if t != task:
+                    task, made, rooms = t, 0, []
+                    base = above + 1 + (t << 40)
+                    if even and totals.get(t):
+                        made = -(-totals[t] // capacity)
+                        rooms = sorted((capacity, base + k) for k in range(made))
+                if b is not None:  # a bin of an earlier call
+                    insort(rooms, (max(0, capacity - w), b))
+                    placed.append(b)
+                    continue
+                at = len(rooms) - 1 if even else bisect_left(rooms, (w, -1))
+                if 0 <= at < len(rooms) and rooms[at][0] >= w:
+                    room, to = rooms.pop(at)
+                else:
+                    room, to, made = capacity, base + made, made + 1
+                insort(rooms, (room - w, to))
+                placed.append(to)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), batch.column("weight"), pa.array(placed, pa.int64())], ["key", "piece", "weight", "bin"])
+
+    dealt = loads.repartition(max(1, min(tasks, 1 << 20)), "task").sortWithinPartitions("task", F.col("bin").isNull(), F.desc("weight"), "bin", "key", "piece")
+    packed = stage(dealt.mapInArrow(run, f"key {kind}, piece int, weight long, bin long"))
+    first = packed.where("piece >= 0").select(F.col("key").alias(key), "piece", "weight", "bin")
+    whole = packed.groupBy("bin").agg(F.sum("weight").alias("load"), F.max(F.col("piece") < 0).alias("old"))
+    # at most one bin a task is this small, unless it is an old one, which stays
+    small = [(r["bin"], r["load"]) for r in whole.where(F.col("load") * 2 < capacity).where("not old").orderBy(F.desc("load"), "bin").collect()]
+    moved = {b: small[n][0] for b, _, n in BestFit(capacity, False).pack(small)}
+    sums: dict[int, int] = {}
+    for b, w in small:
+        sums[moved[b]] = sums.get(moved[b], 0) + w
+    tiny = min((b for b in sums if 2 * sums[b] < capacity), key=lambda b: sums[b], default=None) if no_tiny else None
+    if tiny is not None:
+        into = whole.where(~F.col("bin").isin([b for b, _ in small])).orderBy("load", "bin").first()
+        target = into["bin"] if into else next((b for b in sums if b != tiny), tiny)
+        moved = {b: target if to == tiny else to for b, to in moved.items()}
+    moves = [(b, to) for b, to in moved.items() if b != to]
+    if not moves:
+        return first
+    # as many rows as tasks at most
+    change = F.broadcast(spark.createDataFrame(moves, "bin long, to long"))
+    return first.join(change, "bin", "left").select(key, "piece", "weight", F.coalesce("to", "bin").alias("bin"))

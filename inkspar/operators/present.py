@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_relevance, display_title
 from ..schema import INDEX, PAGE, TERM
+from ..staging import stage
 
 
 def rank_order() -> list[Column]:
@@ -39,13 +40,14 @@ def related_indexes(df: DataFrame) -> DataFrame:
 
 
 def newest_edition(df: DataFrame) -> DataFrame:
-    """All pages of the newest edition of each site, by an aggregation and a join: a site with many pages stays spread."""
-    newest = df.groupBy("site").agg(F.max("edition").alias("newest"))
+    """All pages of the newest edition of each site, by an aggregation that is written and a join: a site with many pages stays spread,
+    as both sides of the join are plain and adaptive execution cuts what is large.  df is read twice."""
+    newest = stage(df.groupBy("site").agg(F.max("edition").alias("newest")))
     return df.join(newest, "site").where(F.col("edition") == F.col("newest")).drop("newest")
 
 
 def mark_newest(df: DataFrame) -> DataFrame:
-    newest = df.groupBy("site").agg(F.max("edition").alias("newest_edition"))
+    newest = stage(df.groupBy("site").agg(F.max("edition").alias("newest_edition")))
     return df.join(newest, "site").withColumn("newest", F.col("edition") == F.col("newest_edition")).drop("newest_edition")
 
 
@@ -74,10 +76,21 @@ def present(df: DataFrame, group_sites: bool = True, show_old: bool = False) ->
     return out.join(best, "site").orderBy(F.desc("site_rel"), "site", "edition", F.desc("rel"), "target")
 
 
-def to_html(df: DataFrame, limit: int = 1000) -> str:
-    """A page of at most limit results, for people."""
+#: What a stop query, which gives no plan, is answered with.
+STOP_MESSAGE = "All words of the query are too common to be searched for."
+
+
+def message(found: DataFrame | None) -> DataFrame | str:
+    return STOP_MESSAGE if found is None else count_line(found)
+
+
+def to_html(df: DataFrame | None, limit: int = 1000) -> str:
+    """A page for people: how many results there are, and the first of them."""
     import html
 
+    if df is None:
+        return f"<p>{STOP_MESSAGE}</p>"
+    total = count_line(df).first()["line"]
     rows = present(df, group_sites=False).limit(limit).collect()
     items = "".join(f"<li><a href='{html.escape(r['target'])}'>{html.escape(r['shown_title'] or r['target'])}</a> {html.escape(r['relevance'])}</li>" for r in rows)
-    return f"<p>Found {len(rows)} results</p><ol>{items}</ol>"
+    return f"<p>{total}</p><ol>{items}</ol>"

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import algebra, federate, indexer, merge, ordered, present
-from ..sources import store, xml_index
-from .query import Engine
+from ..schema import INDEX, PAGE, TERM
+from ..sources import codecs, store, xml_index
+from ..staging import shared_folder, stage
+from .query import Engine, MissingTerm, parse, show
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,11 +108,11 @@ register("tf_relevance", WITH + "SELECT target, max(round(rel, 6)) AS best, coun
 register(
     "tfidf_relevance",
     WITH + ", n AS (SELECT count(*) AS total FROM documents), f AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT p.term, p.target, round(p.tf / p.wc * ln(n.total / f.df), 6) AS rel FROM post p JOIN f USING (term), n",
-)(lambda s, d: rounded(indexer.tfidf(postings(s, d), docs_of(s, d).count()), "term", "target"))
+)(lambda s, d: rounded(indexer.tfidf(stage(postings(s, d).select("term", "target", "tf", "word_count")), docs_of(s, d).count()), "term", "target"))
 register(
     "idf_rescale_clamped",
     WITH + ", f AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT p.term, p.target, round(p.rel * CASE WHEN ln(100 / f.df) < 0 THEN 1 ELSE ln(100 / f.df) END, 6) AS rel FROM post p JOIN f USING (term)",
-)(lambda s, d: rounded(indexer.idf_rescale(postings(s, d), 100), "term", "target"))
+)(lambda s, d: rounded(indexer.idf_rescale(stage(postings(s, d).select("term", "target", "entry_type", "rel")), 100), "term", "target"))
 register("forward_index_terms", WITH + "SELECT target AS uri, md5(array_to_string(list_sort(list(term)), ' ')) AS terms FROM post GROUP BY target")(
     lambda s, d: indexer.forward_index(postings(s, d)).select("uri", F.md5(F.array_join("terms", " ")).alias("terms"))
 )
@@ -190,7 +192,7 @@ register("rank_topk", WITH + f"{_RANKED} FROM {_one('attion')} a FULL JOIN {_one
 
 
 def _with_site(s: SparkSession, d: str, term: str) -> DataFrame:
-    return of_terms(s, d, [term])
+    return stage(of_terms(s, d, [term]))
 
 
 register("site_groups", WITH + "SELECT site, edition, count(*) AS pages, round(max(rel), 6) AS rel FROM post WHERE term = 'anea' GROUP BY site, edition")(
@@ -206,9 +208,29 @@ _ENTRIES = "VALUES ('test', 1, 0.8, 'lol'), ('test', 0, 0.8, 'CHK@MIh5'), ('test
 register("entry_type_order", f"SELECT subj, entry_type, target, row_number() OVER (ORDER BY subj, rel DESC, entry_type, target) - 1 AS place FROM ({_ENTRIES}) v(subj, entry_type, rel, target)")(
     lambda s, d: ordered.with_rank(s.sql(f"SELECT * FROM ({_ENTRIES}) v(subj, entry_type, rel, target)"), *present.entry_order(), name="place").select("subj", "entry_type", "target", "place")
 )
-register("entry_type_filter", f"SELECT entry_type, count(*) AS n FROM ({_ENTRIES}) v(subj, entry_type, rel, target) GROUP BY entry_type")(
-    lambda s, d: s.sql(f"SELECT * FROM ({_ENTRIES}) v(subj, entry_type, rel, target)").groupBy("entry_type").agg(F.count("*").alias("n"))
+_KINDS = "SELECT subj, CAST(entry_type AS TINYINT) AS entry_type, target, rel FROM"
+register("entry_type_filter", f"SELECT entry_type, target, count(*) AS n FROM ({_ENTRIES}) v(subj, entry_type, rel, target) GROUP BY entry_type, target")(
+    lambda s, d: _by_kind(s.sql(f"{_KINDS} ({_ENTRIES}) v(subj, entry_type, rel, target)"))
 )
+
+
+def _by_kind(rows: DataFrame) -> DataFrame:
+    parts = [f(rows) for f in (present.pages, present.related_terms, present.related_indexes)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(F.col("entry_type").cast("int").alias("entry_type"), "target").agg(F.count("*").alias("n"))
+
+
+register(
+    "editions_ascending",
+    WITH + """, b AS (SELECT site, max(rel) AS best FROM post WHERE term = 'anea' GROUP BY site)
+ SELECT p.target, row_number() OVER (ORDER BY b.best DESC, p.site, p.edition, p.rel DESC, p.target) - 1 AS place FROM post p JOIN b USING (site) WHERE p.term = 'anea'""",
+)(lambda s, d: _placed(present.present(_with_site(s, d, "anea"), show_old=True)))
+
+
+def _placed(shown: DataFrame) -> DataFrame:
+    """The place of each row in an ordered frame, by the same order."""
+    return ordered.with_rank(stage(shown), F.desc("site_rel"), F.asc("site"), F.asc("edition"), F.desc("rel"), F.asc("target"), name="place").select("target", "place")
+
+
 register(
     "url_site_edition",
     r"""SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/\d+(\.html?)?/?$', '') AS site,
@@ -238,10 +260,13 @@ register("merge_full_outer", WITH + "SELECT coalesce(a.term, b.term) AS term, co
     lambda s, d: merge.merge_full(postings(s, d, "de"), postings(s, d, "fr"))
 )
 register("delete_anti", WITH + "SELECT term, count(*) AS n FROM post WHERE lang <> 'de' GROUP BY term")(lambda s, d: merge.delete(postings(s, d), postings(s, d, "de")).groupBy("term").agg(F.count("*").alias("n")))
-register("additive_total_pages", "SELECT lang, count(*) AS total_pages FROM documents GROUP BY lang")(lambda s, d: docs_of(s, d).groupBy("lang").agg(F.count("*").alias("total_pages")))
+register("additive_total_pages", "SELECT 'Ω ' || max(lang) AS name, count(*) AS total_pages FROM documents")(
+    lambda s, d: merge.metadata_of(docs_of(s, d).groupBy("lang").agg(F.count("*").alias("total_pages")).select(F.col("lang").alias("batch"), F.concat(F.lit("Ω "), "lang").alias("name"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("owner_email"), "total_pages")).select("name", "total_pages")
+)
 register("distinct_pages", WITH + "SELECT count(DISTINCT target) AS total_pages FROM post")(lambda s, d: merge.distinct_pages(postings(s, d)))
-register("group_by_term", WITH + "SELECT term, md5(array_to_string(list_sort(list(target)), ',')) AS targets FROM post GROUP BY term")(
-    lambda s, d: postings(s, d).groupBy("term").agg(F.md5(F.array_join(F.array_sort(F.collect_set("target")), ",")).alias("targets"))
+register("group_by_term", WITH + "SELECT term, count(DISTINCT target) AS entries, min(target) AS first, max(target) AS last FROM post GROUP BY term")(lambda s, d: indexer.group_by_term(postings(s, d)))
+register("merge_handlers", WITH + "SELECT term, count(*) AS n, count(*) FILTER (lang = 'fr') AS fresh FROM post WHERE lang IN ('de', 'fr') AND term IN (SELECT term FROM post WHERE lang = 'fr') GROUP BY term")(
+    lambda s, d: merge.update_with(postings(s, d, "de"), postings(s, d, "fr"), {"n": F.count(F.when(~F.col("fresh"), 1)), "added": F.count(F.when(F.col("fresh"), 1))}).select("term", "n", F.col("added").alias("fresh"))
 )
 register("md5_shard_route", f"WITH {TOKENS} SELECT DISTINCT term, CASE WHEN md5(term) >= 'c' THEN 'c' WHEN md5(term) >= '8' THEN '8' WHEN md5(term) >= '4' THEN '4' ELSE '0' END AS shard FROM tok")(
     lambda s, d: store.route_column(tx.tokenize(docs_of(s, d)).select("term").distinct(), ["0", "4", "8", "c"]).select("term", "shard")
@@ -256,54 +281,190 @@ register("parse_positions", f"SELECT id, array_to_string(list_filter([TRY_CAST(t
 )
 
 
-@register(
-    "xml_word_file_join",
-    WITH + ", n AS (SELECT count(*) AS total FROM documents), f AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT p.term, p.target, round(p.tf / p.wc * ln(n.total / f.df), 6) AS rel FROM post p JOIN f USING (term), n WHERE p.term IN ('anea', 'eriner')",
-)
+_TFIDF = ", n AS (SELECT count(*) AS total FROM documents), f AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT p.term, p.target, round(p.tf / p.wc * ln(n.total / f.df), 6) AS rel FROM post p JOIN f USING (term), n"
+
+
+def _xml(s: SparkSession, d: str) -> xml_index.XmlIndex:
+    """All postings, written as an XML index of four shards."""
+    return xml_index.write_xml(stage(postings(s, d)), shared_folder(s, "xml"), ["0", "4", "8", "c"], docs_of(s, d).count(), "documents & more", "nobody")
+
+
+@register("xml_word_file_join", WITH + _TFIDF + " WHERE p.term IN ('anea', 'eriner')")
 def _xml_join(s: SparkSession, d: str) -> DataFrame:
-    """The two sections of a shard, words with their places and files with their sizes, joined on the file id."""
-    p = of_terms(s, d, ["anea", "eriner"])
-    words = p.select("term", F.col("target").alias("id"), "positions").join(indexer.doc_frequency(p).withColumnRenamed("df", "file_count"), "term")
-    files = docs_of(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("page"), F.lit(None).cast("string").alias("title"), F.size(tx.tokens(F.col("text"))).alias("word_count"))
-    joined = words.join(files, "id").withColumn("total_files", F.lit(docs_of(s, d).count()))
-    return rounded(xml_index.word_file_postings(joined), "term", "target")
+    """The two sections of the shards, words with their places and files with their sizes, read back and joined on the file id."""
+    return rounded(_xml(s, d).lookup("anea", "eriner"), "term", "target")
+
+
+@register("xml_root", "SELECT unnest(['0', '4', '8', 'c']) AS key, 'documents & more' AS title, 'nobody' AS owner")
+def _xml_root(s: SparkSession, d: str) -> DataFrame:
+    index = _xml(s, d)
+    header, keys = store.open_index(s, f"{index.path}/index.xml").root()
+    return s.createDataFrame([(k, header["title"], header["owner"]) for k in keys], "key string, title string, owner string")
+
+
+@register("xml_sections", WITH + ", r AS (SELECT *, CASE WHEN md5(term) >= 'c' THEN 'c' WHEN md5(term) >= '8' THEN '8' WHEN md5(term) >= '4' THEN '4' ELSE '0' END AS shard FROM post) SELECT 'word' AS kind, term AS name, count(*) AS n FROM r WHERE shard = '4' GROUP BY term UNION ALL SELECT DISTINCT 'file', target, wc FROM r WHERE shard = '4'")
+def _xml_sections(s: SparkSession, d: str) -> DataFrame:
+    index = _xml(s, d)
+    words = index.words(index.file("4", "words")).groupBy("term", "file_count").agg(F.count("*").alias("n")).where("n = file_count")
+    files = index.files(index.file("4", "files")).select(F.lit("file").alias("kind"), F.col("page").alias("name"), F.col("word_count").cast("bigint").alias("n"))
+    return words.select(F.lit("word").alias("kind"), F.col("term").alias("name"), "n").unionByName(files)
 
 
 @register("stored_lookup", WITH + "SELECT target, round(rel, 6) AS rel FROM post WHERE term = 'attion'")
 def _stored(s: SparkSession, d: str) -> DataFrame:
-    index = store.StoredIndex(s, _folder(s))
+    index = store.StoredIndex(s, shared_folder(s, "index"))
     index.write(postings(s, d), {"name": "documents"})
     return rounded(index.lookup("attion"), "target")
 
 
+@register("stored_lookup_all", WITH + "SELECT term, count(*) AS n FROM post WHERE term IN (SELECT term FROM post WHERE target = '7') GROUP BY term")
+def _stored_all(s: SparkSession, d: str) -> DataFrame:
+    """All terms of one document at once, from the stored index."""
+    index = store.StoredIndex(s, shared_folder(s, "index"))
+    index.write(postings(s, d))
+    return index.lookup_all(index.postings().where("target = '7'").select("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@register("uri_table", "SELECT url AS uri, min(page_id) AS size FROM pages WHERE page_id % 3 <> 0 GROUP BY url")
+def _uris(s: SparkSession, d: str) -> DataFrame:
+    """Addresses put into an index in two editions, some taken out again, and read one by one by their keys."""
+    index = store.StoredIndex(s, shared_folder(s, "index"))
+    urls = table(s, d, "pages").groupBy(F.col("url").alias("uri"), (F.col("page_id") % 3 == 0).alias("gone")).agg(F.min("page_id").alias("size"))
+    kept = urls.where("not gone").drop("gone")
+    index.write(of_terms(s, d, ["pour"]))
+    index.put_uris(urls.where("gone").join(kept.select("uri"), "uri", "left_anti").select("uri", "size"))
+    index.put_uris(kept)
+    index.remove_uris(urls.where("gone").join(kept.select("uri"), "uri", "left_anti"))
+    return index.uris().select("uri", F.col("size").cast("bigint").alias("size"))
+
+
+@register("stored_remove", WITH + "SELECT term, count(*) AS n FROM post WHERE term IN ('anea', 'eriner') AND lang <> 'de' GROUP BY term")
+def _removed(s: SparkSession, d: str) -> DataFrame:
+    index = store.StoredIndex(s, shared_folder(s, "index"))
+    both = of_terms(s, d, ["anea", "eriner"])
+    index.write(both)
+    index.remove(of_terms(s, d, ["anea", "eriner"], "de"))
+    return index.postings().groupBy("term").agg(F.count("*").alias("n"))
+
+
 @register("stream_ingest_equals_batch", WITH + "SELECT term, count(*) AS n FROM post GROUP BY term")
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     from ..schema import POSTINGS as SCHEMA
     from ..streaming.ingest import Ingest
 
-    root = _folder(s)
+    root = shared_folder(s, "index")
     postings(s, d).select(*SCHEMA.fieldNames()).write.parquet(f"{root}/in")
     ingest = Ingest(s, f"{root}/index")
     ingest.start(f"{root}/in", f"{root}/log", available_now=True).awaitTermination()
     return ingest.snapshot().groupBy("term").agg(F.count("*").alias("n"))
 
 
-def _folder(s: SparkSession) -> str:
-    import tempfile
-    import uuid
+@register("push_buffer_ingest", WITH + "SELECT term, count(*) AS n, 'documents' AS name, 14 AS total_pages FROM post WHERE term IN ('anea', 'eriner', 'pour', 'attion') GROUP BY term")
+def _pushed(s: SparkSession, d: str) -> DataFrame:
+    """Two slices pushed as buffers with headers, the first one twice: the metadata of both, each entry once."""
+    from ..streaming.ingest import Ingest, push
 
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkspar-")
-    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    root = shared_folder(s, "index")
+    rows = of_terms(s, d, ["anea", "eriner", "pour", "attion"])
+    ingest = Ingest(s, f"{root}/index", merge.FlushPolicy(max_updates=0))
+    for k, (terms, pages) in enumerate(((["anea", "eriner"], 3), (["pour", "attion"], 4))):
+        some = stage(rows.where(F.col("term").isin(terms)).coalesce(1))
+        for _ in range(2 - k):
+            push(codecs.encode_buffers(some, {"name": "documents", "total_pages": pages}, 1 << 20), f"{root}/in")
+    push(codecs.encode_buffers(stage(rows.where("term = 'pour'").coalesce(1)), {"owner": "x", "total_pages": 4}, 1 << 20), f"{root}/in")
+    ingest.start(f"{root}/in", f"{root}/log", available_now=True, max_files=1, buffers=True).awaitTermination()
+    meta = ingest.index.meta()
+    return ingest.snapshot().groupBy("term").agg(F.count("*").alias("n")).select("term", "n", F.lit(meta["name"]).alias("name"), F.lit(meta["total_pages"]).cast("int").alias("total_pages"))
 
 
-@register("yaml_binary_round_trip", WITH + "SELECT term, target, tf FROM post WHERE term IN ('anea', 'eriner', 'pour')")
-def _codec(s: SparkSession, d: str) -> DataFrame:
-    from ..sources import codecs
+@register("ingest_restart", WITH + "SELECT term, count(*) AS n, 1 AS edition FROM post WHERE term IN ('anea', 'eriner') GROUP BY term")
+def _restarted(s: SparkSession, d: str) -> DataFrame:
+    """A write that failed left files of the next edition behind: it is written all the same, and holds no delta twice."""
+    from ..schema import POSTINGS as SCHEMA
+    from ..streaming.ingest import Ingest
 
+    root = shared_folder(s, "index")
+    ingest = Ingest(s, f"{root}/index")
+    rows = of_terms(s, d, ["anea", "eriner"]).select(*SCHEMA.fieldNames())
+    ingest.merge_batch(rows.where("term = 'anea'"), 0)
+    ingest.compact()
+    ingest.merge_batch(rows, 1)
+    rows.limit(3).withColumn("shard", F.lit("x")).write.partitionBy("shard").parquet(f"{root}/index/postings/edition=1")
+    edition = ingest.compact()
+    return ingest.snapshot().groupBy("term").agg(F.count("*").alias("n")).withColumn("edition", F.lit(edition))
+
+
+@register("binary_round_trip", WITH + "SELECT term, target, tf FROM post WHERE term IN ('anea', 'eriner', 'pour')")
+def _codec(s: SparkSession, d: str) -> DataFrame:
     back = codecs.decode_rows(codecs.encode_rows(of_terms(s, d, ["anea", "eriner", "pour"])))
     return back.select("term", "target", F.size("positions").cast("bigint").alias("tf"))
 
 
+@register("yaml_round_trip", WITH + "SELECT term, target, array_to_string(positions, ',') AS positions FROM post WHERE term IN ('anea', 'eriner', 'pour')")
+def _yaml(s: SparkSession, d: str) -> DataFrame:
+    """Written as files of block YAML and read back."""
+    folder = shared_folder(s, "yaml")
+    codecs.encode_yaml(of_terms(s, d, ["anea", "eriner", "pour"])).write.text(folder)
+    return codecs.read_yaml(s, f"{folder}/part-*").select("term", "target", listed("positions"))
+
+
+# the search language and the strict tokenizer, against what they must give
+
+_TREES = {
+    "Foo": "foo", "the": "-", "foo bar": "(and foo bar)", "foo the bar": "(and foo bar)", "foo or bar": "(or foo bar)", "foo bar or baz": "(and foo (or bar baz))", "foo or the": "-",
+    "foo -bar": "(not foo bar)", "foo not bar": "(not foo bar)", "foo notebook": "(and foo notebook)", "-foo": "-", "the and": "-", "foo -the": "-", '"jesus of nazareth"': '"jesus+0 nazareth+2"', '"the who"': "-",
+    "free-software": '"free+0 software+1"', 'foo "bar': "(and foo bar)", 'freenet -"freenet message system"': '(not freenet "freenet+0 message+1 system+2")',
+    'freenet or "free network"': '(or freenet "free+0 network+1")', "日本": "(and 日 本)", "  Foo   BAR ": "(and foo bar)", "foo bar -baz -qux": "(not (not (and foo bar) baz) qux)", "foo or": "error", "or foo": "error", "foo not": "error", "   ": "error", "foo or not bar": "error",
+}
+
+
+def _values(pairs: dict[str, str]) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return "VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs.items())
+
+
+def _tree(query: str) -> str:
+    try:
+        return show(parse(query))
+    except ValueError:
+        return "error"
+
+
+register("query_trees", f"SELECT * FROM ({_values(_TREES)}) v(query, tree)")(lambda s, d: s.createDataFrame([(q, _tree(q)) for q in _TREES], "query string, tree string"))
+_STRICT = {"Don't stop' 12 345 67": "don't stop 345 67", "日本語字": "日 日本 本 本語 語 語字 字", "ab日本": "ab 日 日本 本", "12 a1 99": "a1 99", "Straße": "strasse", "it's 7日": "it's 7日 日", "": ""}
+register("tokenize_mixed_scripts", f"SELECT * FROM ({_values(_STRICT)}) v(text, tokens)")(
+    lambda s, d: s.createDataFrame([(t,) for t in _STRICT], "text string").join(
+        tx.tokenize_strict(s.createDataFrame([(t, t) for t in _STRICT], "doc_id string, text string"), pairs=True).groupBy(F.col("doc_id").alias("text")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("tokens")), "text", "left",
+    ).select("text", F.coalesce("tokens", F.lit("")).alias("tokens"))
+)
+
+
+@register("missing_term", "SELECT * FROM (VALUES ('empty', '0'), ('error', 'nosuchword')) v(mode, found)")
+def _missing(s: SparkSession, d: str) -> DataFrame:
+    def found(mode: str) -> str:
+        try:
+            return str(engine(s, d, on_missing=mode).search("anea nosuchword").count())
+        except MissingTerm as e:
+            return str(e)
+
+    return s.createDataFrame([(m, found(m)) for m in ("empty", "error")], "mode string, found string")
+
+
+@register("multi_index_with_failures", WITH + "SELECT target, round(rel, 6) AS rel FROM post WHERE term = 'attion'")
+def _failing(s: SparkSession, d: str) -> DataFrame:
+    """A member that cannot be read is left out."""
+
+    def broken(terms):
+        raise FileNotFoundError("gone")
+
+    view = store.VirtualIndex.create(of_terms(s, d, ["attion"]), "attion_postings")
+    return rounded(Engine({"bad": broken, "good": lambda terms: view.lookup(*terms)}).search("attion", "bad good"), "target")
+
+
+register("fragments_map", WITH + "SELECT term, target, CAST(len(positions) AS BIGINT) AS n FROM post WHERE term = 'anea'")(
+    lambda s, d: of_terms(s, d, ["anea"]).select("term", "target", F.size(F.map_keys(tx.positions_map(F.col("positions"), F.col("fragments")))).cast("bigint").alias("n"))
+)
+
 # sorted keys
 
 _TERMS = f"WITH {TOKENS}, u AS (SELECT DISTINCT term FROM tok), r AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k, count(*) OVER () AS n FROM u) "
@@ -340,8 +501,34 @@ def _navigation(s: SparkSession, d: str) -> DataFrame:
     return six.unionByName(ordered.nav(terms, "term", None, "second").select(F.lit("second").alias("kind"), "term"))
 
 
-register("adjacent_terms", _TERMS + "SELECT a.term AS left, b.term AS right FROM r a JOIN r b ON a.k + 1 = b.k")(lambda s, d: ordered.adjacent_pairs(_distinct(s, d), "term"))
-register("bin_pack")(lambda s, d: ordered.bin_pack(indexer.doc_frequency(postings(s, d)).where("df <= 64"), "term", "df", 64))
+register("adjacent_terms", f"WITH {TOKENS}, u AS (SELECT DISTINCT term FROM tok) SELECT * FROM (SELECT term AS \"left\", lead(term) OVER (ORDER BY term) AS \"right\" FROM u) WHERE \"right\" IS NOT NULL")(lambda s, d: ordered.adjacent_pairs(_distinct(s, d), "term"))
+register("key_views", f"WITH {TOKENS}, u AS (SELECT DISTINCT term FROM tok) SELECT 'head' AS kind, count(*) AS n FROM u WHERE term < 'an' UNION ALL SELECT 'tail', count(*) FROM u WHERE term >= 'the' UNION ALL SELECT 'sub', count(*) FROM u WHERE term >= 'an' AND term < 'the'")(
+    lambda s, d: _views(_distinct(s, d))
+)
+
+
+def _views(terms: DataFrame) -> DataFrame:
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count(ordered.head(terms, "term", "an"), "head").union(count(ordered.tail(terms, "term", "the"), "tail")).union(count(ordered.sub(terms, "term", "an", "the"), "sub"))
+
+
+_CAPACITY = 64
+
+
+@register(
+    "bin_pack",
+    WITH + f", f AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS weight, CAST(sum(ceil(df / {_CAPACITY})) AS BIGINT) AS pieces, true AS sums_kept, true AS no_bin_too_full, true AS no_bin_too_empty FROM f",
+)
+def _bins(s: SparkSession, d: str) -> DataFrame:
+    """All terms by their entries, in pieces where a bin is too small for one; the invariants of the bins, as their numbers are free."""
+    df = stage(indexer.doc_frequency(postings(s, d)))
+    packed = stage(ordered.bin_pack(df, "term", F.col("df"), _CAPACITY, oversize="split"))
+    loads = packed.groupBy("bin").agg(F.sum("weight").alias("load")).agg(F.max("load").alias("most"), F.min("load").alias("least"))
+    sums = packed.groupBy("term").agg(F.sum("weight").alias("weight")).join(df, "term").agg(F.min(F.col("weight") == F.col("df")).alias("sums_kept"))
+    total = packed.agg(F.countDistinct("term").alias("terms"), F.sum("weight").alias("weight"), F.count("*").alias("pieces"))
+    # a bin takes in the last one if that is less than half full
+    return total.crossJoin(sums).crossJoin(loads).select("terms", "weight", "pieces", "sums_kept", (F.col("most") <= _CAPACITY * 3 // 2).alias("no_bin_too_full"), (F.col("least") * 2 >= _CAPACITY).alias("no_bin_too_empty"))
+
 
 # federated relevance
 
@@ -353,3 +540,18 @@ _EDGES = "SELECT 'n' || n_regionkey AS src, 'k' || n_nationkey AS dst, 0.5 + n_n
 register("effective_relevance", f"WITH RECURSIVE e AS (SELECT src, dst, CAST(rel AS DOUBLE) AS rel FROM ({_EDGES})), p(term, rel, hops) AS (SELECT 'n0', CAST(1 AS DOUBLE), 0 UNION ALL SELECT e.dst, p.rel * e.rel, p.hops + 1 FROM p JOIN e ON p.term = e.src WHERE p.hops < 6) SELECT term, round(max(rel), 6) AS rel FROM p GROUP BY term")(
     lambda s, d: rounded(federate.effective_relevance(s.sql(f"SELECT src, dst, CAST(rel AS DOUBLE) AS rel FROM ({_EDGES.replace('FROM nation', 'FROM {n}')})", n=table(s, d, "nation")), "n0", 6), "term")
 )
+
+
+@register("federated_search", "SELECT 'P' || c_custkey AS target, round(least(1.0, 0.1 + c_nationkey / 30.0), 6) AS rel FROM customer")
+def _federated(s: SparkSession, d: str) -> DataFrame:
+    """Regions name their nations as indexes, and every nation has the pages of its customers: all are reached from one."""
+    nation, customer = table(s, d, "nation"), table(s, d, "customer")
+    index = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    row = lambda i, kind, target, rel: (i.alias("index"), F.lit("x").alias("term"), F.lit(kind).alias("entry_type"), target.alias("target"), rel.cast("double").alias("rel"))
+    edges = nation.select(*row(index("R", "n_regionkey"), INDEX, index("K", "n_nationkey"), F.lit(1.0)))
+    around = nation.select(*row(F.lit("R0"), INDEX, index("R", "n_regionkey"), F.lit(1.0))).distinct()
+    pages = customer.select(*row(index("K", "c_nationkey"), PAGE, index("P", "c_custkey"), F.least(F.lit(1.0), 0.1 + F.col("c_nationkey") / 30.0)))
+    found, _, _ = federate.federated_search(edges.union(around).union(pages), "R0", "x", 6)
+    # one index of at most 25 answers for a page: less than a third of all trust
+    have = customer.select("c_nationkey").distinct().count()
+    return found.select("target", F.round(F.col("rel") / F.least(F.lit(1.0), F.lit(3.0 / have)), 6).alias("rel"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Union
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +72,8 @@ def word_of(text: str) -> Node | None:
     return None if not word or is_stop_word_py(word) else Term(word)
 
 
-def parse(query: str, strict_compat: bool = False) -> Node | None:
-    """The tree, or None for a stop query.
-
-    strict_compat reads unquoted queries that mix operators the literal way: what is left of a complement, or of an AND with
-    an OR in it, is looked up as one term with the operators in it.
-    """
+def parse(query: str) -> Node | None:
+    """The tree, or None for a stop query."""
     text = fix_cjk(query.lower().strip())
     if not text:
         raise QueryError("the query is blank")
@@ -90,8 +87,6 @@ def parse(query: str, strict_compat: bool = False) -> Node | None:
         return phrase_of(re.split(r"[\s-]+", whole[1].strip()))
     if re.fullmatch(r"[^\s\"-]+(?:-[^\s\"-]+)+", text):
         return phrase_of(text.split("-"))
-    if strict_compat and '"' not in text:
-        return _literal(text)
     # tokens: operators and operands
     items: list[tuple[str, Node | None]] = []
     for m in _PIECE.finditer(text):
@@ -171,25 +166,17 @@ def _conjunction(items: list[tuple[str, Node | None]]) -> Node | None:
     return parts[0] if len(parts) == 1 else And(tuple(parts))
 
 
-def _literal(text: str) -> Node | None:
-    text = re.sub(r"\s+or\s+", "||", text)
-    text = re.sub(r"\s+(?:not\s*|-)(\S+)", r"^^(\1)", text)
-    text = re.sub(r"\s+", "&&", text)
-
-    def term(t: str) -> Node | None:
-        return None if is_stop_word_py(t) else Term(t)
-
-    m = re.search(r"\^\^\(([^)]*)\)", text)
-    if m:
-        left, minus = term(text[: m.start()] + text[m.end() :]), term(m[1])
-        return None if left is None or minus is None else Not(left, minus)
-    if "&&" in text:
-        parts = [n for n in map(term, text.split("&&")) if n]
-        return None if not parts else parts[0] if len(parts) == 1 else And(tuple(parts))
-    if "||" in text:
-        parts = list(map(term, text.split("||")))
-        return None if None in parts else Or(tuple(parts))
-    return None
+def show(node: Node | None) -> str:
+    """A tree as text: (and a b), (or a b), (not a b), a phrase with the offsets of its words, `-` for a stop query."""
+    if node is None:
+        return "-"
+    if isinstance(node, Term):
+        return node.word
+    if isinstance(node, Phrase):
+        return '"' + " ".join(f"{w}+{k}" for w, k in node.words) + '"'
+    if isinstance(node, Not):
+        return f"(not {show(node.left)} {show(node.minus)})"
+    return f"({'and' if isinstance(node, And) else 'or'} {' '.join(map(show, node.parts))})"
 
 
 def terms_of(node: Node) -> set[str]:
@@ -213,16 +200,33 @@ class Engine:
     indexes: dict[str, DataFrame | Callable[[list[str]], DataFrame]]
     union_mode: str = "merge"
     on_missing: str = "empty"  # or "error"
-    strict_compat: bool = False
+    #: Plans by query and indexes; `forget` drops them when an index has changed.
+    known: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def compile(self, query: str, names: str | list[str] | None = None) -> DataFrame | None:
+        """The plan, or None for a stop query.  Of several indexes those that cannot be read are left out, as long as one can."""
         chosen = self.resolve(names)
-        node = parse(query, self.strict_compat)
+        node = parse(query)
         if node is None:
             return None
-        if len(chosen) == 1:
-            return self._plan(node, chosen[0], query)
-        return algebra.multi_index([self._plan(node, n, query) for n in chosen], f"{query.strip().lower()}@{' '.join(chosen)}", self.union_mode)
+        memo = (query.strip().lower(), tuple(chosen))
+        if memo not in self.known:
+            self.known[memo] = self._plan(node, chosen[0], query) if len(chosen) == 1 else self._over(node, chosen, query)
+        return self.known[memo]
+
+    def _over(self, node: Node, chosen: list[str], query: str) -> DataFrame:
+        plans, errors = [], []
+        for name in chosen:
+            try:
+                plans.append(self._plan(node, name, query))
+            except (LookupError, OSError, ValueError, PySparkException) as e:
+                errors.append(e)
+        if not plans:
+            raise errors[0]
+        return algebra.multi_index(plans, f"{query.strip().lower()}@{' '.join(chosen)}", self.union_mode)
+
+    def forget(self) -> None:
+        self.known.clear()
 
     search = compile
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INDEX, PAGE, TERM
+from . import yaml_text
+from .yaml_text import Tagged, Translator
 
 #: Version mark at the head of each binary entry (fixed value).
 MAGIC = 0xF23194B7F015560C
@@ -20,6 +21,11 @@ _ARROW = pa.schema(
     [("term", pa.string()), ("entry_type", pa.int32()), ("target", pa.string()), ("title", pa.string()), ("rel", pa.float64()), ("positions", pa.list_(pa.int32())), ("fragments", pa.map_(pa.int32(), pa.string()))]
 )
 TAGS = {TERM: "!TermTermEntry", INDEX: "!TermIndexEntry", PAGE: "!TermPageEntry"}
+#: Header lines of a push buffer, by the name of what they say (fixed values).
+HEADER = {"name": "index.title", "owner": "index.owner.name", "owner_email": "index.owner.email", "total_pages": "totalPages"}
+HEADERS = "name string, owner string, owner_email string, total_pages long"
+#: Entries of a push buffer, at most.
+BUFFER = 10_000
 
 
 class CodecError(ValueError):
@@ -92,14 +98,13 @@ def decode_entries(data: bytes) -> Iterator[dict]:
 
 def encode_buffer(meta: dict, entries: list[dict]) -> bytes:
     """A push buffer: header lines, a line with `End`, entries to the end."""
-    keys = {"name": "index.title", "owner": "index.owner.name", "owner_email": "index.owner.email", "total_pages": "totalPages"}
-    head = "".join(f"{keys[k]}={meta[k]}\n" for k in keys if meta.get(k) is not None)
+    head = "".join(f"{HEADER[k]}={meta[k]}\n" for k in HEADER if meta.get(k) is not None)
     return (head + "End\n").encode() + b"".join(map(encode_entry, entries))
 
 
 def decode_buffer(data: bytes) -> tuple[dict, Iterator[dict]]:
     meta = {"total_pages": -1}
-    names = {"index.title": "name", "index.owner.name": "owner", "index.owner.email": "owner_email", "totalPages": "total_pages"}
+    names = {line: name for name, line in HEADER.items()}
     at = 0
     while True:
         end = data.find(b"\n", at)
@@ -146,6 +151,54 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decode_files(False, "yaml"), ENTRY)
 
 
+def encode_buffers(postings: DataFrame, meta: dict | None = None, size: int = BUFFER) -> DataFrame:
+    """(data): push buffers of at most size entries, each with the header; made where the rows lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                yield pa.RecordBatch.from_arrays([pa.array([encode_buffer(meta or {}, batch.slice(at, size).to_pylist())], pa.binary())], ["data"])
+
+    return _entries(postings).mapInArrow(run, "data binary")
+
+
+def decode_buffers(buffers: DataFrame, column: str = "data") -> DataFrame:
+    """The entries of a column of push buffers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield _batch(list(decode_buffer(data)[1]))
+
+    return buffers.select(column).where(F.col(column).isNotNull()).mapInArrow(run, ENTRY)
+
+
+def buffer_headers(buffers: DataFrame, column: str = "data") -> DataFrame:
+    """name, owner, owner_email, total_pages of each push buffer; -1 pages where a header does not say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [decode_buffer(data)[0] for data in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[pa.array([h.get(n) for h in heads], pa.string()) for n in ("name", "owner", "owner_email")], pa.array([h["total_pages"] for h in heads], pa.int64())], list(HEADER))
+
+    return buffers.select(column).where(F.col(column).isNotNull()).mapInArrow(run, HEADERS)
+
+
+def encode_yaml(postings: DataFrame) -> DataFrame:
+    """(value): the entries of each batch as YAML in block style, for a sink of text; files put together are YAML again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([to_yaml(batch.to_pylist())], pa.string())], ["value"])
+
+    return _entries(postings).mapInArrow(run, "value string")
+
+
+def _entries(postings: DataFrame) -> DataFrame:
+    return postings.select("term", F.col("entry_type").cast("int"), "target", "title", "rel", "positions", "fragments")
+
+
 def encode_rows(postings: DataFrame) -> DataFrame:
     """(data): each row as a binary entry, to be written by any sink of bytes."""
 
@@ -153,7 +206,7 @@ def encode_rows(postings: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([encode_entry(e) for e in batch.to_pylist()], pa.binary())], ["data"])
 
-    return postings.select("term", F.col("entry_type").cast("int"), "target", "title", "rel", "positions", "fragments").mapInArrow(run, "data binary")
+    return _entries(postings).mapInArrow(run, "data binary")
 
 
 def decode_rows(rows: DataFrame) -> DataFrame:
@@ -164,33 +217,49 @@ def decode_rows(rows: DataFrame) -> DataFrame:
     return rows.select("data").mapInArrow(run, ENTRY)
 
 
-def to_yaml(entries: list[dict]) -> str:
-    """One flow mapping with its tag on each line; strings are written as JSON, which YAML includes."""
-    lines = []
-    for e in entries:
-        body: dict = {"subj": e["term"], "rel": e["rel"]}
-        if e["entry_type"] == PAGE:
-            fragments = dict(e.get("fragments") or {})
-            body |= {"page": e["target"], "title": e.get("title"), "positions": e.get("positions"), "posFragments": {str(k): v for k, v in fragments.items()} or None}
-        else:
-            body["term" if e["entry_type"] == TERM else "index"] = e["target"]
-        lines.append(f"- {TAGS[e['entry_type']]} {json.dumps(body, ensure_ascii=False)}\n")
-    return "".join(lines)
-
-
-def from_yaml(text: str) -> Iterator[dict]:
-    kinds = {t: k for k, t in TAGS.items()}
-    for line in text.splitlines():
-        if not line.strip():
-            continue
-        if not line.startswith("- !"):
-            raise CodecError(f"not an entry: {line[:60]}")
-        tag, _, body = line[2:].partition(" ")
-        if tag not in kinds:
-            raise CodecError(f"no such tag: {tag}")
-        b = json.loads(body)
-        kind = kinds[tag]
-        rel = struct.unpack(">f", struct.pack(">f", b["rel"]))[0]
-        fragments = b.get("posFragments")
-        target = b["page" if kind == PAGE else "term" if kind == TERM else "index"]
-        yield {"term": b["subj"], "entry_type": kind, "target": target, "title": b.get("title"), "rel": rel, "positions": b.get("positions"), "fragments": [(int(k), v) for k, v in fragments.items()] if fragments else None}
+class _Entry(dict):
+    """An entry on its way to or from YAML."""
+
+
+def _plain(e: dict) -> dict:
+    body: dict = {"subj": e["term"], "rel": float(e["rel"])}
+    if e["entry_type"] == PAGE:
+        fragments = dict(e.get("fragments") or {})
+        return body | {"page": e["target"], "title": e.get("title"), "positions": e.get("positions"), "posFragments": fragments or None}
+    return body | {"term" if e["entry_type"] == TERM else "index": e["target"]}
+
+
+def _entry(kind: int, body: dict) -> _Entry:
+    if not isinstance(body, dict) or "subj" not in body or "rel" not in body:
+        raise CodecError(f"not an entry: {str(body)[:60]}")
+    # relevances are of single precision; files of others may give addresses a tag of their own
+    rel = struct.unpack(">f", struct.pack(">f", body["rel"]))[0]
+    target = body.get("page" if kind == PAGE else "term" if kind == TERM else "index")
+    target = target.value if isinstance(target, Tagged) else target
+    if target is None:
+        raise CodecError("an entry without a target")
+    fragments, positions = body.get("posFragments"), body.get("positions")
+    if isinstance(positions, dict):  # places with their fragments in one map
+        fragments, positions = fragments or {p: f for p, f in positions.items() if f is not None}, sorted(positions)
+    return _Entry(term=str(body["subj"]), entry_type=kind, target=str(target), title=body.get("title"), rel=rel, positions=positions, fragments=[(int(k), v) for k, v in fragments.items()] if fragments else None)
+
+
+def _translators() -> list[Translator]:
+    return [Translator(tag, _Entry, _plain, lambda body, kind=kind: _entry(kind, body)) for kind, tag in TAGS.items()]
+
+
+def to_yaml(entries: list[dict], translators: list[Translator] = ()) -> str:
+    """A sequence of tagged entries in block style."""
+    return yaml_text.dump([Tagged(TAGS[e["entry_type"]], _plain(e)) for e in entries], list(translators)) if entries else ""
+
+
+def from_yaml(text: str, translators: list[Translator] = ()) -> Iterator[dict]:
+    """Entries of a YAML sequence, block or flow style."""
+    try:
+        found = yaml_text.load(text, [*_translators(), *translators])
+    except yaml_text.YamlError as e:
+        raise CodecError(str(e)) from e
+    for e in found or []:
+        if not isinstance(e, _Entry):
+            raise CodecError(f"not an entry: {str(e)[:60]}")
+        yield dict(e)

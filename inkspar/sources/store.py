@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import shard_key
-from ..schema import FORMAT_VERSION, META, REGISTRY, URIS
+from ..schema import FORMAT_VERSION, META, POSTINGS, REGISTRY, URIS
 
 SHARD_DIGITS = 1
 #: Columns that are not published.
@@ -42,6 +42,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @dataclass
 class StoredIndex:
     spark: SparkSession
@@ -49,28 +61,37 @@ class StoredIndex:
 
     # an edition is there when its row of metadata is, which is written last
     def editions(self) -> list[int]:
-        if not _exists(self.spark, f"{self.path}/meta"):
-            return []
-        return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/meta").select("edition").distinct().collect())
+        found = [int(m[1]) for c in children(self.spark, f"{self.path}/meta") if (m := re.fullmatch(r"edition=(\d+)", c))]
+        return sorted(e for e in found if _exists(self.spark, f"{self.path}/meta/edition={e}/_SUCCESS"))
 
     def latest(self) -> int:
         """-1 when nothing is published."""
         return max(self.editions(), default=-1)
 
     def write(self, postings: DataFrame, meta: dict | None = None, uris: DataFrame | None = None, files: int | None = None) -> int:
-        """A new edition.  Rows are range-partitioned by (shard, term, target), so a frequent term takes many files, and
-        sorted, so that row groups of other terms are skipped."""
+        """A new edition; what a failed write of the same number left is overwritten.
+
+        Rows are dealt by parts of a shard that the md5 of their term picks, and adaptive execution joins small parts and cuts those that a
+        frequent term makes large: their number follows the size, and the plan below is run once, as nothing has to be
+        sampled for borders.  Files are sorted, so that row groups of other terms are skipped, and have Bloom filters of
+        their terms, so that files of other terms are.
+        """
         edition = self.latest() + 1
-        n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = postings.drop(*PRIVATE).withColumn("shard", shard_key(F.col("term"), SHARD_DIGITS))
-        rows.repartitionByRange(n, "shard", "term", "target").sortWithinPartitions("shard", "term", F.desc("rel"), "entry_type", "target").write.partitionBy("shard").parquet(f"{self.path}/postings/edition={edition}")
+        part = F.substring(F.md5("term"), SHARD_DIGITS + 1, 2)
+        dealt = rows.withColumn("_part", part).hint("rebalance", *([files] if files else []), "shard", "_part").drop("_part")
+        sorted_ = dealt.sortWithinPartitions("shard", "term", F.desc("rel"), "entry_type", "target")
+        writer = sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.expected.ndv#term", "100000")
+        writer.partitionBy("shard").parquet(f"{self.path}/postings/edition={edition}")
         if uris is not None:
-            uris.select(*URIS.fieldNames()).sortWithinPartitions("uri_key").write.parquet(f"{self.path}/uris/edition={edition}")
+            uris.select(*URIS.fieldNames()).repartitionByRange("uri_key", "uri").sortWithinPartitions("uri_key", "uri").write.mode("overwrite").parquet(f"{self.path}/uris/edition={edition}")
+        else:
+            delete_path(self.spark, f"{self.path}/uris/edition={edition}")
         meta = meta or {}
         from datetime import datetime
 
         row = (meta.get("name"), meta.get("owner"), meta.get("owner_email"), int(meta.get("total_pages", -1)), meta.get("modified") or datetime.now(), FORMAT_VERSION, meta.get("extra") or {})
-        self.spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{self.path}/meta/edition={edition}")
+        self.spark.createDataFrame([row], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/edition={edition}")
         return edition
 
     def meta(self, edition: int | None = None) -> dict:
@@ -86,7 +107,10 @@ class StoredIndex:
         edition = self.latest() if edition is None else edition
         if edition < 0:
             raise IndexFormatError(f"no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/postings/edition={edition}")
+        path = f"{self.path}/postings/edition={edition}"
+        if not any(c.startswith("shard=") for c in children(self.spark, path)):  # an edition without rows has no files
+            return self.spark.createDataFrame([], POSTINGS).withColumn("shard", F.lit(""))
+        return self.spark.read.parquet(path)
 
     def lookup(self, *terms: str, edition: int | None = None) -> DataFrame:
         """Entries of terms.  Shards are computed here, so that the filter on them is literal and prunes directories."""
@@ -102,41 +126,99 @@ class StoredIndex:
         """All terms in order; the scan reads the one column."""
         return self.postings().select("term").distinct().orderBy("term")
 
+    def uris(self) -> DataFrame:
+        """The table of addresses of the newest edition; empty where none was written."""
+        path = f"{self.path}/uris/edition={self.latest()}"
+        return self.spark.read.schema(URIS).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], URIS)
+
     def uri(self, uri: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/uris/edition={self.latest()}").where((F.col("uri_key") == uri_key_py(uri)) & (F.col("uri") == uri))
+        """What is known of one address: at most one row, and only the row groups of its site are read."""
+        return self.uris().where((F.col("uri_key") == uri_key_py(uri)) & (F.col("uri") == uri))
 
     def put(self, new: DataFrame, **options) -> int:
+        """A new edition with those entries too."""
         from ..operators.merge import merge_metadata, upsert
 
         if self.latest() < 0:
             return self.write(new, options.get("meta"))
         old = self.postings().drop("shard")
-        return self.write(upsert(old, new, options.get("latest_wins", False)), merge_metadata(self.meta(), options.get("meta") or {}))
+        meta = merge_metadata(self.meta(), options["meta"]) if options.get("meta") else self.meta()
+        return self.write(upsert(old, new, options.get("latest_wins", False)), meta, self._kept_uris())
 
     def remove(self, gone: DataFrame) -> int:
+        """A new edition without those entries, by term, entry type and target."""
         from ..operators.merge import delete
 
-        return self.write(delete(self.postings().drop("shard"), gone), self.meta())
+        return self.write(delete(self.postings().drop("shard"), gone), self.meta(), self._kept_uris())
+
+    def _kept_uris(self) -> DataFrame | None:
+        return self.uris() if _exists(self.spark, f"{self.path}/uris/edition={self.latest()}") else None
+
+    def put_uris(self, new: DataFrame) -> int:
+        """A new edition with those addresses; of an address that is there already the new row stays."""
+        rest = [c for c in URIS.fieldNames() if c not in ("uri_key", "uri")]
+        both = self.uris().withColumn("_new", F.lit(0)).unionByName(with_uri_key(new).withColumn("_new", F.lit(1)), allowMissingColumns=True)
+        merged = both.groupBy("uri_key", "uri").agg(F.max_by(F.struct(*rest), "_new").alias("row")).select("uri_key", "uri", "row.*")
+        return self.write(self.postings().drop("shard"), self.meta(), merged)
+
+    def remove_uris(self, gone: DataFrame) -> int:
+        return self.write(self.postings().drop("shard"), self.meta(), self.uris().join(gone.select("uri").distinct(), "uri", "left_anti"))
+
+
+_SITE = r"^(\w+:/*[^/]+).*$"
+
+
+def with_uri_key(rows: DataFrame) -> DataFrame:
+    """uri_key: the digest of the site, and the other columns of the table where they are missing."""
+    out = rows.withColumn("uri_key", F.sha2(F.regexp_replace("uri", _SITE, "$1"), 256))
+    return out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in URIS.fields])
 
 
 def uri_key_py(uri: str) -> str:
     """Addresses of one site share the beginning of their key."""
     from hashlib import sha256
 
-    site = re.sub(r"^(\w+:/*[^/]+).*$", r"\1", uri)
+    site = re.sub(_SITE, r"\1", uri)
     return sha256(site.encode()).hexdigest()
 
 
-def index_type(name: str) -> str:
-    """parquet, xml or yaml, from a MIME type, a file name or a path."""
+def index_type(name: str, spark: SparkSession | None = None) -> str:
+    """parquet, xml, yaml or view, from a MIME type, a file name or a path, and with a session from what a folder holds."""
     low = name.lower()
+    if low.startswith("view:"):
+        return "view"
     if low in ("application/xml", "text/xml") or low.endswith(("index.xml", ".xml")):
         return "xml"
     if low in ("application/yaml", "text/yaml", "text/x-yaml") or low.endswith((".yml", ".yaml")):
         return "yaml"
+    if spark:
+        inside = [c.lower() for c in children(spark, name)]
+        if "index.xml" in inside:
+            return "xml"
+        if "meta" not in inside and any(c.endswith((".yml", ".yaml")) for c in inside):
+            return "yaml"
     return "parquet"
 
 
+@dataclass
+class VirtualIndex:
+    """An index that is a view of the session, whatever stands behind it."""
+
+    spark: SparkSession
+    name: str
+
+    @staticmethod
+    def create(postings: DataFrame, name: str) -> VirtualIndex:
+        postings.createOrReplaceTempView(name)
+        return VirtualIndex(postings.sparkSession, name)
+
+    def postings(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def lookup(self, *terms: str) -> DataFrame:
+        return self.postings().where(F.col("term").isin(list(terms)))
+
+
 @dataclass
 class Registry:
     """alias -> location, kept as a table; `bookmark:name` resolves through it."""
@@ -151,11 +233,7 @@ class Registry:
         return self.spark.read.schema(REGISTRY).parquet(f"{self.path}/v={latest}")
 
     def _latest(self) -> int:
-        if not _exists(self.spark, self.path):
-            return -1
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-        return max((int(m[1]) for s in found if (m := re.fullmatch(r"v=(\d+)", s.getPath().getName())) and _exists(self.spark, f"{self.path}/{m[0]}/_SUCCESS")), default=-1)
+        return max((int(m[1]) for c in children(self.spark, self.path) if (m := re.fullmatch(r"v=(\d+)", c)) and _exists(self.spark, f"{self.path}/{m[0]}/_SUCCESS")), default=-1)
 
     def _save(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, REGISTRY).coalesce(1).write.parquet(f"{self.path}/v={self._latest() + 1}")
@@ -183,17 +261,20 @@ class Registry:
 
 
 def open_index(spark: SparkSession, address: str, registry: Registry | None = None):
-    """A StoredIndex, or the postings of an XML or YAML index."""
+    """A StoredIndex, XmlIndex or VirtualIndex, or the postings of a YAML index."""
     location = registry.resolve(address) if registry else address
-    kind = index_type(location)
+    kind = index_type(location, spark)
+    if kind == "view":
+        return VirtualIndex(spark, location.partition(":")[2])
+    if not _exists(spark, location):
+        raise FileNotFoundError(location)
     if kind == "xml":
         from .xml_index import XmlIndex
 
-        return XmlIndex(spark, location.rsplit("/", 1)[0])
+        folder = location.rsplit("/", 1)[0] if location.lower().endswith(".xml") else location
+        return XmlIndex(spark, folder, _exists(spark, f"{folder}/words"))
     if kind == "yaml":
         from .codecs import read_yaml
 
         return read_yaml(spark, location)
-    if not _exists(spark, location):
-        raise FileNotFoundError(location)
     return StoredIndex(spark, location)

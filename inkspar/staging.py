@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df under ``spark.checkpoint.dir`` and read it again; a temporary folder serves only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str = "stage") -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one serves where that is unset, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("inkspar.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="inkspar-")
         spark.conf.set("inkspar.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write df in the shared folder and read it again."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,20 +1,36 @@
-"""Continuous ingest: posting files -> small index -> published index.
+"""Continuous ingest: posting files or push buffers -> small index -> published index.
 
-The files of the source folder are the durable log.  Each micro-batch is merged as a delta under its batch id, so a batch
-that is run again after a failure replaces itself; deltas are merged into a new edition when the flush policy says so.
+The files of the source folder are the durable log.  Each micro-batch is merged as a delta under its own name, so a batch
+that is run again after a failure replaces itself; deltas are merged into a new edition when the flush policy says so.  Beside each
+delta stands one row about it (its terms as a sketch, its largest term, its header), so the policy never reads the deltas again.
+An edition records which deltas it holds: what a failure leaves behind is not merged twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
+from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import FlushPolicy, upsert
-from ..schema import IDENTITY, POSTINGS
-from ..sources.store import StoredIndex, _exists
+from ..operators.merge import FlushPolicy, merge_metadata, upsert
+from ..schema import IDENTITY, POSTINGS, struct
+from ..sources import codecs
+from ..sources.store import StoredIndex, _exists, children, delete_path
+
+ABOUT = struct(number="bigint", terms=T.BinaryType(), largest="bigint", name="string", owner="string", owner_email="string", total_pages="bigint")
+BUFFERS = struct(data=T.BinaryType())
+#: Size of the sketches of terms; their count is right to about 1 %.
+SKETCH = 13
+
+
+class Broken(RuntimeError):
+    """The ingest stopped at an error and takes nothing in until `repair`."""
 
 
 @dataclass
@@ -22,47 +38,138 @@ class Ingest:
     spark: SparkSession
     index_path: str
     policy: FlushPolicy = field(default_factory=FlushPolicy)
+    #: Called with ("merged", name of the delta), ("published", edition) or ("broken", error).
+    on_event: Callable[[str, object], None] | None = None
+    broken: Exception | None = None
 
     @property
     def deltas(self) -> str:
         return f"{self.index_path}/deltas"
 
-    def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """One delta for each batch id: idempotent."""
-        batch.dropDuplicates(IDENTITY).write.mode("overwrite").parquet(f"{self.deltas}/batch={batch_id}")
+    @property
+    def about(self) -> str:
+        return f"{self.index_path}/about"
 
-    def pending(self) -> DataFrame:
-        if not _exists(self.spark, self.deltas):
+    @property
+    def index(self) -> StoredIndex:
+        return StoredIndex(self.spark, self.index_path)
+
+    def _tell(self, what: str, of: object) -> None:
+        if self.on_event:
+            self.on_event(what, of)
+
+    def merge_batch(self, batch: DataFrame, batch_id: int, log: str = "", header: dict | None = None) -> str:
+        """One delta for each log and batch id: idempotent."""
+        name = f"{md5(log.encode()).hexdigest()[:8]}-{batch_id}" if log else str(batch_id)
+        batch.dropDuplicates(IDENTITY).write.mode("overwrite").parquet(f"{self.deltas}/batch={name}")
+        delta = self.spark.read.schema(POSTINGS).parquet(f"{self.deltas}/batch={name}")
+        sizes = delta.groupBy("term").agg(F.count("*").alias("n"))
+        header = header or {}
+        row = sizes.agg(F.hll_sketch_agg("term", F.lit(SKETCH)).alias("terms"), F.max("n").alias("largest")).select(
+            F.lit(batch_id).cast("bigint").alias("number"), F.coalesce("terms", F.lit(b"")).alias("terms"), F.coalesce("largest", F.lit(0)).cast("bigint").alias("largest"),
+            *[F.lit(header.get(k)).cast("string").alias(k) for k in ("name", "owner", "owner_email")], F.lit(header.get("total_pages")).cast("bigint").alias("total_pages"),
+        )
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.about}/batch={name}")
+        self._tell("merged", name)
+        return name
+
+    def pending_names(self) -> list[str]:
+        """Whole deltas that the newest edition does not hold yet."""
+        held = set((self.index.meta().get("extra") or {}).get("merged", "").split(",")) if self.index.latest() >= 0 else set()
+        there = [c.removeprefix("batch=") for c in children(self.spark, self.about) if _exists(self.spark, f"{self.about}/{c}/_SUCCESS")]
+        return sorted(set(there) - held)
+
+    def _read(self, names: list[str]) -> DataFrame:
+        if not names:
             return self.spark.createDataFrame([], POSTINGS)
-        return self.spark.read.schema(POSTINGS).parquet(self.deltas).drop("batch")
+        return self.spark.read.schema(POSTINGS).parquet(*[f"{self.deltas}/batch={n}" for n in names])
+
+    def pending(self) -> DataFrame:
+        return self._read(self.pending_names())
+
+    def _facts(self, names: list[str]) -> list[Row]:
+        """The rows about deltas, in the order of their batches: as many as there are deltas since the last edition, which the policy bounds."""
+        return self.spark.read.schema(ABOUT).parquet(*[f"{self.about}/batch={n}" for n in names]).orderBy("number").collect() if names else []
 
     def snapshot(self) -> DataFrame:
         """What a search sees: the published edition together with all deltas."""
-        index = StoredIndex(self.spark, self.index_path)
         new = self.pending()
-        if index.latest() < 0:
+        if self.index.latest() < 0:
             return new.dropDuplicates(IDENTITY)
-        return upsert(index.postings().drop("shard"), new)
+        return upsert(self.index.postings().drop("shard"), new)
+
+    def due(self, last: str | None = None) -> bool:
+        names = self.pending_names()
+        if not names:
+            return False
+        about = self.spark.read.schema(ABOUT).parquet(*[f"{self.about}/batch={n}" for n in names])
+        terms = about.where(F.length("terms") > 0).agg(F.hll_sketch_estimate(F.hll_union_agg("terms")).alias("n")).first()["n"] or 0
+        largest = self._facts([last])[0]["largest"] if last in names else max(r["largest"] for r in self._facts(names))
+        return self.policy.due(terms, len(names), largest, self.hours_since())
+
+    def hours_since(self, now: datetime | None = None) -> float:
+        """Since the newest edition; 0 before the first one."""
+        if self.index.latest() < 0:
+            return 0.0
+        return max(0.0, ((now or datetime.now()) - self.index.meta()["modified"]).total_seconds() / 3600)
 
     def compact(self) -> int:
-        """Publish a new edition.  Deltas stay until the edition is complete; merging one twice changes nothing."""
-        edition = StoredIndex(self.spark, self.index_path).write(self.snapshot())
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.deltas)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        """Publish a new edition with the metadata of all its deltas.  Deltas stay until the edition is complete."""
+        names = self.pending_names()
+        meta = self.index.meta() if self.index.latest() >= 0 else {"total_pages": -1}
+        for r in self._facts(names):
+            meta = merge_metadata(meta, {k: r[k] for k in ("name", "owner", "owner_email", "total_pages")})
+        extra = dict(meta.get("extra") or {}) | {"merged": ",".join(names)}
+        edition = self.index.write(self.snapshot(), meta | {"extra": extra, "modified": None})
+        for name in names:
+            delete_path(self.spark, f"{self.about}/batch={name}")
+            delete_path(self.spark, f"{self.deltas}/batch={name}")
+        self._tell("published", edition)
         return edition
 
-    def start(self, source: str, checkpoint: str, available_now: bool = False, interval: str = "10 seconds", max_files: int = 5) -> StreamingQuery:
-        """maxFilesPerTrigger holds the producer's backlog off the engine; a failed query starts again from its checkpoint."""
-        stream = self.spark.readStream.schema(POSTINGS).option("maxFilesPerTrigger", max_files).parquet(source)
+    def repair(self) -> None:
+        self.broken = None
+
+    def start(self, source: str, checkpoint: str, available_now: bool = False, interval: str = "10 seconds", max_files: int = 5, buffers: bool = False) -> StreamingQuery:
+        """Posting files, or with buffers tables with a column `data` of push buffers.
+
+        maxFilesPerTrigger holds the producer's backlog off the engine; a failed query starts again from its checkpoint, once
+        `repair` has been called on an ingest that broke.
+        """
+        if self.broken:
+            raise Broken(str(self.broken)) from self.broken
+        stream = self.spark.readStream.schema(BUFFERS if buffers else POSTINGS).option("maxFilesPerTrigger", max_files).parquet(source)
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            self.merge_batch(batch, batch_id)
-            largest = batch.groupBy("term").count().agg(F.max("count")).first()[0] or 0
-            updates = len({f.rsplit("/", 2)[1] for f in self.pending().inputFiles()})
-            terms = self.pending().select("term").distinct().count()
-            if self.policy.due(terms, updates, largest, 0.0):
-                self.compact()
+            try:
+                header = None
+                if buffers:
+                    header = batch_header(codecs.buffer_headers(batch))
+                    batch = from_entries(codecs.decode_buffers(batch))
+                name = self.merge_batch(batch, batch_id, checkpoint, header)
+                if self.due(name):
+                    self.compact()
+            except Exception as e:
+                self.broken = e
+                self._tell("broken", e)
+                raise
 
         writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def batch_header(headers: DataFrame) -> dict:
+    """One header for the buffers of a batch: the greatest of names, and the sum of the pages that they tell."""
+    known = F.col("total_pages") >= 0
+    return headers.agg(F.max("name").alias("name"), F.max("owner").alias("owner"), F.max("owner_email").alias("owner_email"), F.sum(F.when(known, F.col("total_pages"))).alias("total_pages")).first().asDict()
+
+
+def from_entries(entries: DataFrame) -> DataFrame:
+    """Entries of a codec as postings."""
+    have = {"tf": F.size("positions"), "entry_type": F.col("entry_type").cast("tinyint"), "site": F.lit(None).cast("string"), "edition": F.lit(None).cast("bigint")}
+    return entries.select(*[have.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in POSTINGS.fields])
+
+
+def push(buffers: DataFrame, source: str) -> None:
+    """Hand push buffers (data) to the ingest that reads this folder: they are durable when this returns."""
+    buffers.select("data").write.mode("append").parquet(source)

@@ -96,11 +96,11 @@ def test_parse(query, tree):
     assert parse(query) == tree
 
 
-def test_parse_errors_and_literal_reading():
+def test_parse_errors():
     for bad in ("", "  ", "foo or", "foo not"):
         with pytest.raises(QueryError):
             parse(bad)
-    assert parse("aaa bbb -ccc", strict_compat=True) == Not(Term("aaa&&bbb"), Term("ccc"))
+    assert parse("aaa bbb -ccc") == Not(And((Term("aaa"), Term("bbb"))), Term("ccc"))
 
 
 def test_search(spark):
