@@ -1,9 +1,10 @@
 """Exact dedup by a content sort.
 
 Sampled splitters range-partition the normalised texts, each partition is sorted externally, and neighbours are
-compared in full.  The partition key is (first bytes, digest, doc_id): its length is bounded, so the driver's sample of
-keys is small however long texts are, and because the id is part of it a group of copies that holds a third of all
-rows is cut into many partitions instead of filling one.  Runs of equal texts that touch the edge of a partition are put
+compared in full.  The place of a row is (first bytes, digest, doc_id) in 56 bytes that sort as these do, so the driver's sample of
+places is small however long texts are, and because the id is part of it a group of copies that holds a third of all
+rows is cut into many partitions instead of filling one.  Only the sampled rows are normalised for the splitters, all rows once
+for the sort.  Splitters share out the sample's bytes, and there are as many partitions as the estimated bytes ask for.  Runs of equal texts that touch the edge of a partition are put
 together from one summary row each (two per partition at most).
 
 Defined results: null text counts as empty; the empty text is a text like any other, so all empty rows form one group;
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +27,16 @@ from .common import map_texts, stage, table
 
 #: White space that is folded: space and the characters 9 to 13.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: Bytes of the text in the range key; the digest separates texts with a longer common beginning.
+#: Bytes of the text in the place; the digest separates texts with a longer common beginning.
 KEY_BYTES = 16
+#: Bytes of a place: of the text, of the digest and of the id.
+PLACE_BYTES = KEY_BYTES + 32 + 8
+#: Texts of a partition, about; more partitions than the session's setting are made where it asks for larger ones.
+PART_BYTES = 512 << 20
+#: Sampled rows: for each partition, or one for so many rows, whichever is more; and the most that the driver takes.
+PART_SAMPLES, SAMPLED_OF, MOST_SAMPLES = 100, 5000, 1_000_000
+#: What a row weighs beside its text.
+ROW_BYTES = 100
 
 
 def normalise(text: Column) -> Column:
@@ -99,16 +109,53 @@ def _runs(keep_row: bool, heads_only: bool):
     return scan
 
 
-def _sorted(docs: DataFrame, text_col: str, id_col: str, keep_row: bool) -> DataFrame:
-    cols = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+def _placed(docs: DataFrame, text_col: str, id_col: str, keep_row: bool) -> DataFrame:
+    """doc_id, norm, place (and doc): places compare as (first bytes, digest, id), null ids last."""
+    cols = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), normalise(F.col(f"`{text_col}`")).alias("norm")]
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    keyed = docs.select(*cols).withColumn("norm", normalise(F.col("text")))
-    bytes_ = F.encode("norm", "utf-8")
-    keyed = keyed.withColumn("key", F.substring(bytes_, 1, KEY_BYTES)).withColumn("sha", F.unhex(F.sha2(bytes_, 256))).drop("text")
+    raw = F.encode("norm", "utf-8")
+    # with the sign bit turned over, eight bytes sort as the numbers do
+    number = F.coalesce("doc_id", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))
+    place = F.concat(F.rpad(F.substring(raw, 1, KEY_BYTES), KEY_BYTES, F.lit(b"\0")), F.unhex(F.sha2(raw, 256)), F.unhex(F.lpad(F.hex(number), 16, "0")))
+    return docs.select(*cols).withColumn("place", place)
+
+
+def splitters(docs: DataFrame, text_col: str, id_col: str) -> tuple[list[bytes], int]:
+    """Places between partitions, and the number of partitions, from a sample of rows that the driver can hold."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartitionByRange(parts, "key", "sha", F.col("doc_id").asc_nulls_last())
-    return keyed.sortWithinPartitions("key", "sha", "norm", F.col("doc_id").asc_nulls_last()).drop("key")
+    rows = docs.count()
+    wanted = min(MOST_SAMPLES, max(PART_SAMPLES * parts, rows // SAMPLED_OF))
+    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    some = some.sample(wanted / rows, seed=1) if rows > wanted else some
+    taken = sorted((bytes(r["place"]), r["n"]) for r in _placed(some, "text", "id", False).select("place", F.octet_length("norm").alias("n")).collect())
+    ends = np.cumsum([n + ROW_BYTES for _, n in taken])
+    if not len(ends):
+        return [], parts
+    parts = max(parts, int(ends[-1] * (rows / len(taken)) // PART_BYTES) + 1)
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts)
+    return sorted({taken[k][0] for k in at}), parts
+
+
+def partition_of(place: Column, cuts: list[bytes]) -> Column:
+    """How many of the sorted cuts lie below place: a binary search in one literal."""
+    if not cuts:
+        return F.lit(0)
+    packed = F.lit(b"".join(cuts))
+    steps = F.array(*[F.lit(1 << e) for e in reversed(range(len(cuts).bit_length()))])
+
+    def search(at: Column, step: Column) -> Column:
+        cut = F.substring(packed, (at + step - 1) * PLACE_BYTES + 1, F.lit(PLACE_BYTES))
+        return at + F.when((at + step <= len(cuts)) & (cut < place), step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), search)
+
+
+def _sorted(docs: DataFrame, text_col: str, id_col: str, keep_row: bool) -> DataFrame:
+    cuts, parts = splitters(docs, text_col, id_col)
+    dealt = _placed(docs, text_col, id_col, keep_row).repartitionById(parts, partition_of(F.col("place"), cuts))
+    ordered = dealt.sortWithinPartitions("place", "norm", F.col("doc_id").asc_nulls_last())
+    return ordered.withColumn("sha", F.substring("place", KEY_BYTES + 1, 32)).drop("place")
 
 
 def content_sort(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_row: bool = False, heads_only: bool = False) -> DataFrame:

@@ -136,6 +136,29 @@ def test_content_sort_against_brute_force(spark):
     assert sum(r["kept"] for r in twice) == 1 and {r["keep_id"] for r in twice} == {7}
 
 
+def test_content_sort_splitters(spark, monkeypatch):
+    """More partitions than the session's, from a part of the rows: places in order, a hot group cut, results whole."""
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    texts = ["the same text"] * 400 + [f"text {k} " * (k % 7) for k in range(400)] + ["ab", "ab\0", "日本語日本語"]
+    ids = [None, -5, 0, (1 << 63) - 1, -(1 << 63), *range(1, len(texts) - 4)]
+    df = frame(spark, texts, ids).repartition(4)
+    monkeypatch.setattr(content_sort, "PART_BYTES", 4000)
+    monkeypatch.setattr(content_sort, "PART_SAMPLES", 30)
+    cuts, parts = content_sort.splitters(df, "text", "doc_id")
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and cuts == sorted(set(cuts)) and 0 < len(cuts) < parts
+    rows = content_sort._placed(df, "text", "doc_id", False).withColumn("p", content_sort.partition_of(F.col("place"), cuts)).collect()
+    first = lambda r: (r["norm"].encode()[:16].ljust(16, b"\0"), hashlib.sha256(r["norm"].encode()).digest(), (1 << 63) - 1 if r["doc_id"] is None else r["doc_id"])
+    assert [r["place"] for r in sorted(rows, key=first)] == sorted(r["place"] for r in rows)
+    assert all(r["p"] == bisect_left(cuts, bytes(r["place"])) for r in rows)
+    assert len({r["p"] for r in rows if r["norm"] == "the same text"}) > 2
+    got = content_sort.content_sort(df).collect()
+    same = [r for r in got if r["text_sha256"] == hashlib.sha256(b"the same text").hexdigest()]
+    assert len(got) == len(texts) and {(r["keep_id"], r["group_size"]) for r in same} == {(-(1 << 63), 400)} and [r["doc_id"] for r in same if r["kept"]] == [-(1 << 63)]
+
+
 def shingle_set(text):
     w = (text or "").lower().split()
     if not w:
