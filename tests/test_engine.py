@@ -224,6 +224,44 @@ def test_streamed_batches_equal_one(spark, tmp_path):
     assert rows(ingest.snapshot(), "term", "target") == rows(whole, "term", "target")
 
 
+def test_ingest_of_a_backlog_keeps_no_old_rows_on_disk(spark, tmp_path, monkeypatch):
+    from inkspar.schema import POSTINGS
+
+    monkeypatch.setattr(store, "PASS", 1)
+    monkeypatch.setattr(store, "HOT", 2)
+    docs = spark.createDataFrame([(k, f"w{k % 5} x y{k} sté{k % 3}") for k in range(40)], "doc_id long, text string")
+    whole = indexer.build_postings(docs).select(*POSTINGS.fieldNames()).cache()
+    for part in range(3):  # they overlap
+        whole.where(F.pmod(F.col("target").cast("int"), F.lit(3)) != part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole.limit(1).withColumn("title", F.lit("later")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    told = []
+    ingest = Ingest(spark, str(tmp_path / "index"), merge.FlushPolicy(max_updates=0), lambda *e: told.append(e))
+    ingest.start(str(tmp_path / "in"), str(tmp_path / "log"), available_now=True, max_files=1, clean=True).awaitTermination()
+    assert [e[0] for e in told] == ["merged", "published"] * 4 and ingest.index.editions() == [2, 3]
+    assert sorted(store.children(spark, f"{ingest.index_path}/postings")) == ["edition=2", "edition=3"] and not store.children(spark, ingest.deltas)
+    for found in (ingest.snapshot(), ingest.index.postings()):
+        assert rows(found, "term", "target", "tf") == rows(whole, "term", "target", "tf")
+    assert rows(ingest.index.lookup("x"), "target") == rows(whole.where("term = 'x'"), "target")
+    assert ingest.index.meta()["extra"]["largest"] >= "40"
+
+
+def test_limits_on_terms_wait_until_the_deltas_hold_as_many_rows_as_the_index(spark, tmp_path):
+    from inkspar.schema import POSTINGS
+
+    docs = spark.createDataFrame([(k, f"w{k % 5} x y{k}") for k in range(80)], "doc_id long, text string")
+    whole = indexer.build_postings(docs).select(*POSTINGS.fieldNames())
+    ingest = Ingest(spark, str(tmp_path / "index"), merge.FlushPolicy(max_terms=1))
+    published = []
+    for part in range(8):
+        name = ingest.merge_batch(whole.where(F.pmod(F.col("target").cast("int"), F.lit(8)) == part).coalesce(1), part)
+        if ingest.due(name):
+            ingest.compact()
+            published.append(part)
+        assert ingest.snapshot().count() == 30 * (part + 1)
+    assert published == [0, 1, 3, 7]
+    assert rows(ingest.snapshot(), "term", "target") == rows(whole, "term", "target")
+
+
 def test_codecs(spark, tmp_path):
     entries = [
         {"term": "test", "entry_type": 1, "target": "lol", "title": None, "rel": 0.5, "positions": None, "fragments": None},
