@@ -103,6 +103,21 @@ def test_ingest_of_buffers_merges_metadata(spark, tmp_path):
     assert {"started", "terminated"} <= {e["event"] for e in listener.events} or not listener.events
 
 
+def test_pages_of_a_push_in_many_buffers_count_once(spark, tmp_path):
+    source = str(tmp_path / "in")
+    some = postings(spark, [(f"t{k}", "p", 0.5) for k in range(10)])
+    for _ in range(2):
+        push(codecs.encode_buffers(some.repartition(3), {"name": "n", "total_pages": 3}, 2), source)
+    both = codecs.encode_buffers(some, {"total_pages": 5}, 4).unionByName(codecs.encode_buffers(some, {"total_pages": 7}, 4))
+    push(both, source)
+    push(codecs.encode_buffers(some.limit(1), {"total_pages": 100}).select("data"), source)
+    ingest = Ingest(spark, str(tmp_path / "i"))
+    ingest.start(source, str(tmp_path / "log"), available_now=True, buffers=True).awaitTermination()
+    ingest.compact()
+    assert ingest.index.meta()["total_pages"] == 3 + 3 + 5 + 7 + 100 and ingest.index.meta()["name"] == "n"
+    assert ingest.snapshot().count() == 10
+
+
 def test_ingest_recovers(spark, tmp_path):
     ingest = Ingest(spark, str(tmp_path / "i"))
     some = postings(spark, [("a", "p", 0.5), ("b", "q", 0.5)])
