@@ -349,7 +349,7 @@ def classes(rows: DataFrame) -> DataFrame:
     members = stars.where("not edge").select("key", "a", "b").union(across)
     pairs = members.select("a", "b").distinct()
     near = _filtered(pairs, nodes)
-    texts = _texts_of(near, nodes, rows)
+    texts = stage(_texts_of(near, nodes, rows))
     # one candidate for each node first: it joins most of what belongs together
     best = near.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
     links = _verified(best, texts)
@@ -357,7 +357,7 @@ def classes(rows: DataFrame) -> DataFrame:
     # the other candidates only where they would join two components
     more = _crossing(near.select("a", "b").join(best, ["a", "b"], "left_anti"), root)
     rest = _verified(more, texts)
-    release(near, texts, more, root)
+    release(near, texts, root)
     first_links, links = links, stage(links.union(rest))
     release(first_links, rest)
     root = components(links)
@@ -383,9 +383,9 @@ def classes(rows: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     extra = stage(grouped.groupBy("key", "x", "y").applyInPandas(_blocks, "a binary, b binary"))
-    release(stars, mixed, whole, left, texts, nodes)
+    release(stars, mixed, whole, left, nodes)
     if not extra.isEmpty():
-        old, root = root, components(links.union(extra.distinct()))
+        old, root = root, components(links.union(extra))
         release(old)
     release(links, extra)
 
@@ -416,7 +416,7 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of every node in pairs: of the row that stands for it."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = wanted.join(nodes.select("node", "at"), "node")
-    return stage(rows.join(chosen, F.col("ord") == F.col("at")).select("node", "text"))
+    return rows.join(chosen, F.col("ord") == F.col("at")).select("node", "text")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _crossing(pairs: DataFrame, root: DataFrame) -> DataFrame:
     found = pairs.join(_root(root, "a", "ra"), "a", "left").join(_root(root, "b", "rb"), "b", "left")
-    return stage(found.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    return found.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

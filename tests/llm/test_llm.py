@@ -9,8 +9,9 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from inkspar.llm import bpe, content_sort, hilbert, language_id, license_scan, pii, prob_minhash, quality_rules, secret_scan, vector_packing
+from inkspar.llm import bpe, content_sort, graph, hilbert, language_id, license_scan, pii, prob_minhash, quality_rules, secret_scan, vector_packing
 from inkspar.llm.common import vocabulary
 from inkspar.llm.graph import components
 
@@ -236,6 +237,38 @@ def test_components(spark):
     assert sorted(map(tuple, roots)) == [(1, 5001), (6000, 301)]
 
 
+@pytest.mark.parametrize("few", [graph.FEW, 0])
+def test_components_by_one_task_and_by_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))] + [(k + 100, k + 101) for k in range(40)] + [(500, 500), (100, 101)]
+    root = {n: n for a, b in pairs if a != b for n in (a, b)}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame([(str(a).encode(), str(b).encode(), a, b) for a, b in pairs], "x binary, y binary, a long, b long").repartition(5)
+    assert {r["node"]: r["root"] for r in components(edges.select("a", "b")).collect()} == root
+    by = {}
+    for n, r in root.items():
+        by.setdefault(r, []).append(str(n).encode())
+    want = {n: min(group) for group in by.values() for n in group}
+    got = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    assert {bytes(r["node"]): bytes(r["root"]) for r in got.collect()} == want
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        roots = components(edges)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert roots.where("root <> 0").count() == 0 and roots.count() == 201
+    assert len(jobs) <= 6
+
+
 def test_surrogates():
     made, detect = pii.Surrogates(b"k"), pii.Detector()
     text = "Mr John Smith and Mrs. Anna Lopez; Foo.Bar@Mail3.example.com foo.bar@mail3.example.com +1 (017) 555-7713 10.2.3.4 4952935900253052 4111-1111-1111-1111 DE89 3704 0044 0532 0130 00 John Smith 3.14.15 2020-01-01"
